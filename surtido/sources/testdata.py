@@ -55,7 +55,7 @@ def lineitem_to_transactions(lines: DataFrame, sku: Column | str = "l_partkey")
         _qty(F.col("l_quantity")).alias("quantity"),
         _qty(price).alias("sale_price"),
         "type",
-        F.col("l_shipdate").alias("transaction_date"))
+        F.col("l_shipdate").cast("timestamp").alias("transaction_date"))
 
 
 def transactions(spark: SparkSession, sf_dir: str, grain: str = "part") -> DataFrame:
