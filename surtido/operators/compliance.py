@@ -155,7 +155,7 @@ def anomalous_stores(summary: DataFrame, contamination: float = 0.15) -> DataFra
     if summary.count() < 5:
         return summary.withColumn("es_anomalia", F.lit(False)).withColumn(
             "score_anomalia", F.lit(None).cast("double"))
-    return flag_outliers(summary, TIER_FEATURES, contamination)
+    return flag_outliers(summary, ["tienda_id"], TIER_FEATURES, contamination)
 
 
 def executive_summary(report: DataFrame, alert_below: float = 80.0) -> DataFrame:

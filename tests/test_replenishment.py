@@ -1,0 +1,125 @@
+import datetime as dt
+import math
+
+import pytest
+from conftest import by
+
+from surtido.operators.aggregates import first_inventory, pair_demand, store_type_summary
+from surtido.operators.replenishment import eoq, replenishment_efficiency, urgent_orders
+
+
+@pytest.fixture(scope="module")
+def eoq_rows(frames):
+    tx = frames.tx([
+        ("1", "A", 10, 9, "venta", "2024-01-01"), ("1", "A", 30, 9, "venta", "2024-01-02"),
+        ("2", "A", 1, 9, "venta", "2024-01-01"),
+        ("3", "A", 4, 9, "venta", "2024-01-01"),
+        ("1", "B", 20, 9, "venta", "2024-01-01"), ("1", "B", 20, 9, "venta", "2024-01-01"),
+        ("4", "A", 8, 9, "venta", "2024-01-01"),
+        ("5", "A", 9, 9, "venta", "2024-01-01"), ("5", "A", 99, 0, "reposicion", "2024-01-01"),
+    ])
+    inv = frames.inventory([("1", "A", 100, 5, 50, 4), ("2", "A", 1, 1, 2, 2),
+                            ("3", "A", 5, 1, 9, 2), ("4", "A", 70, 1, 9, None),
+                            ("5", "A", 50, 1, 9, 5)])
+    cat = frames.catalog([(1, 100, 60), (2, 90000, 50000), (3, 10, None), (4, 100, 30000), (5, 9, 5)])
+    return by(eoq(tx, inv, cat), "sku_id", "tienda_id")
+
+
+def test_eoq_formula(eoq_rows):
+    r = eoq_rows["1", "A"]
+    sd = math.sqrt(200)
+    order = round(math.sqrt(2 * 40 * 500 / 12))
+    safety = round(1.65 * sd * 2)
+    assert (r.eoq, r.stock_seguridad, r.punto_reorden) == (order, safety, round(20 * 4 + safety))
+    assert r.costo_total_optimizado == round(40 / order * 500 + order / 2 * 12, 2)
+    assert r["pedidos_por_año"] == round(40 / order, 1)
+    assert r.estado_reposicion == "🔴 Pedir ahora"
+
+
+def test_eoq_that_rounds_to_zero_gives_null_cost(eoq_rows):
+    r = eoq_rows["2", "A"]
+    assert r.eoq == 0
+    assert r.costo_total_optimizado is None and r.dias_entre_pedidos is None
+
+
+def test_eoq_without_cost_or_inventory(eoq_rows):
+    assert eoq_rows["3", "A"].eoq is None
+    r = eoq_rows["1", "B"]
+    assert r.site_qty is None and r.estado_reposicion == "🟢 Stock OK"
+    assert r.stock_seguridad == round(1.65 * 0.1 * math.sqrt(3))  # equal sales: deviation floor
+
+
+def test_single_sale_and_missing_lead_time(eoq_rows):
+    r = eoq_rows["4", "A"]
+    assert r.lead_time == 3 and r.stock_seguridad == round(1.65 * math.sqrt(3))
+    assert r.punto_reorden == 8 * 3 + 3 and r.estado_reposicion == "🟢 Stock OK"
+    assert eoq_rows["5", "A"].demanda_anual == 9  # the replenishment is no demand
+
+
+def test_order_soon_is_up_to_half_above_the_point(eoq_rows):
+    r = eoq_rows["5", "A"]
+    assert r.punto_reorden == 49 and r.estado_reposicion == "🟡 Pedir pronto"
+
+
+def test_urgent_orders(frames):
+    tx = frames.sales([(str(i), "A", i, "2024-01-01") for i in range(1, 15)])
+    inv = frames.inventory([(str(i), "A", 0, 1, 2, 1) for i in range(1, 15)])
+    cat = frames.catalog([(i, 10, 5) for i in range(1, 15)])
+    rows = urgent_orders(eoq(tx, inv, cat)).collect()
+    assert [r.demanda_anual for r in rows] == [float(x) for x in range(14, 4, -1)]
+
+
+def test_demand_window_and_per_day(frames):
+    tx = frames.sales([("1", "A", 10, "2024-01-01"), ("1", "A", 2, "2024-01-09"),
+                       ("1", "A", 4, "2024-01-09"), ("1", "A", 6, "2024-01-10")])
+    r = by(pair_demand(tx, per_day=True, window_days=2, as_of=dt.date(2024, 1, 10)), "sku_id")["1"]
+    assert (r.demanda_anual, r.demanda_diaria_prom, r.dias_con_venta) == (12.0, 6.0, 2)
+
+
+@pytest.fixture(scope="module")
+def efficiency_rows(frames):
+    tx = frames.tx([
+        ("1", "1", 10, 5, "venta", "2024-01-01"), ("2", "1", 10, 5, "venta", "2024-01-02"),
+        ("1", "1", 19, 0, "reposicion", "2024-01-03"), ("1", "1", 1, 0, "devolucion", "2024-01-03"),
+        ("1", "1", 7, 0, "traslado", "2024-01-03"),
+        ("1", "2", 10, 5, "venta", "2024-01-01"), ("1", "2", 40, 0, "reposicion", "2024-01-01"),
+        ("1", "2", 5, 0, "devolucion", "2024-01-01"),
+    ])
+    inv = frames.inventory([("1", "1", 10, 1, 5, 2, True), ("2", "1", 20, 1, 5, 4)])
+    stores = frames.stores([(1, "Norte", "GRANDE"), (2, None, None), (3, "Sur", None)])
+    return by(replenishment_efficiency(tx, inv, stores), "tienda_id")
+
+
+def test_efficiency_formula(efficiency_rows):
+    r = efficiency_rows["1"]
+    assert (r.cobertura_reposicion, r.tasa_devolucion, r.eficiencia_skus) == (95.0, 5.0, 50.0)
+    assert r.indice_eficiencia == round(100 * (0.5 * 0.95 + 0.3 * (1 - 5 / 30) + 0.2 * 0.5), 2)
+    assert r.clasificacion_eficiencia == "🟢 Alta eficiencia"
+    assert (r.total_trasladado, r.num_traslados, r.skus_sin_repos) == (7.0, 1, 1)
+    assert (r.stock_total, r.lead_time_prom) == (30.0, 3.0)
+
+
+def test_efficiency_caps(efficiency_rows):
+    r = efficiency_rows["2"]
+    assert (r.cobertura_reposicion, r.tasa_devolucion) == (150.0, 50.0)
+    assert r.indice_eficiencia == round(100 * (0.5 * 0.5 + 0.0 + 0.2), 2)
+    assert r.formato is None  # only numbers are filled
+
+
+def test_store_without_movement_stays_with_zeros(efficiency_rows):
+    r = efficiency_rows["3"]
+    assert (r.total_ventas, r.cobertura_reposicion, r.eficiencia_skus) == (0.0, 0.0, 0.0)
+    assert r.indice_eficiencia == 30.0 and r.clasificacion_eficiencia == "🔴 Baja eficiencia"
+
+
+def test_store_type_summary_counts_each_sku_once(frames):
+    tx = frames.tx([("1", "1", 1, 5, "venta", "2024-01-01")] * 50
+                   + [("2", "1", 1, 0, "reposicion", "2024-01-01")])
+    r = by(store_type_summary(tx), "tienda_id")["1"]
+    assert (r.total_ventas, r.transac_ventas, r.skus_vendidos, r.skus_repuestos) == (50.0, 50, 1, 1)
+
+
+def test_first_inventory_takes_one_row_per_pair(frames):
+    inv = frames.inventory([("1", "A", 9, 1, 5, 2), ("1", "A", 3, 1, 5, 7), ("2", "A", 4, 1, 5, 1)])
+    rows = by(first_inventory(inv), "sku_id")
+    assert len(rows) == 2 and (rows["1"].site_qty, rows["1"].lead_time) == (3, 7)

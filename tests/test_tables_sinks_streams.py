@@ -1,0 +1,182 @@
+import datetime as dt
+
+import pytest
+from conftest import SF, by
+from pyspark.sql import functions as F
+
+from surtido import schemas
+from surtido.operators import aggregates, reports
+from surtido.operators.performance import profitability
+from surtido.plans.run_all import JOBS, Tables, run_all
+from surtido.session import materialize, work_dir
+from surtido.sources import sinks, tables
+from surtido.sources import testdata as td
+from surtido.streaming import ingest as stm
+
+
+def test_filters_and_columns_reach_the_scan(spark, frames, tmp_path, capsys):
+    path = str(tmp_path)
+    frames.sales([("1", "A", 1, "2024-01-01")]).write.parquet(f"{path}/transacciones")
+    tx = tables.read_table(spark, path, "transacciones")
+    df = aggregates.daily_by_store(tx, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    for wanted in ("EqualTo(type,venta)", "GreaterThanOrEqual(transaction_date",
+                   "LessThan(transaction_date"):
+        assert wanted in pushed
+    read = next(line for line in plan.splitlines() if "ReadSchema" in line)
+    assert "receipt_id" not in read and "source_location_id" not in read
+
+
+def test_date_range_includes_both_days(frames):
+    tx = frames.sales([("1", "1", 1, "2024-01-01"), ("1", "1", 1, "2024-01-31T23:59:59"),
+                       ("1", "1", 1, "2024-02-01"), ("1", "X1", 1, "2024-01-05")])
+    df = aggregates.daily_by_store(tx, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    assert sorted((r.tienda_id, r.fecha.day) for r in df.collect()) == [(1, 1), (1, 31)]
+
+
+def test_lookups(frames):
+    cat = frames.catalog([(1, 10, 4), (2, 0, 5), (3, None, None)])
+    rows = by(tables.products(cat, limit=None), "sku_id")
+    assert (rows["1"].margen_porcentual, rows["2"].margen_porcentual, rows["3"].precio) == (60, 0, 0)
+    assert [r.sku_id for r in tables.products(cat, 2).collect()] == ["1", "2"]
+    assert tables.by_key(cat, "2").count() == 1
+    assert tables.by_key(cat, "abc").count() == 0 and tables.by_key(cat, "9").count() == 0
+    assert tables.where_equal(cat, id=1, name=None).count() == 1
+
+
+def test_assert_schema(frames):
+    cat = frames.catalog([(1, 10, 4)])
+    schemas.assert_schema(cat, schemas.CATALOGOS)
+    with pytest.raises(ValueError, match="price: string"):
+        schemas.assert_schema(cat.withColumn("price", F.col("price").cast("string")), schemas.CATALOGOS)
+    with pytest.raises(ValueError, match="id: missing"):
+        schemas.assert_schema(cat.drop("id"), schemas.CATALOGOS)
+
+
+def test_work_dir_reads_the_session(spark):
+    assert work_dir(spark).endswith(spark.sparkContext.applicationId)
+    df = materialize(spark.range(5), "five")
+    assert df.count() == 5 and df.schema["id"].dataType.typeName() == "long"
+
+
+def test_save_append_and_replace(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.save_result(spark.range(5), path) == 5
+    assert sinks.save_result(spark.range(3), path) == 3
+    assert spark.read.parquet(path).count() == 3
+    log = str(tmp_path / "log")
+    sinks.append_result(spark.range(2), log, dt.datetime(2024, 1, 1))
+    sinks.append_result(spark.range(2), log, dt.datetime(2024, 1, 2))
+    assert spark.read.parquet(log).groupBy("fecha_generacion").count().count() == 2
+    assert spark.read.parquet(path).transform(sinks.as_json).first().registro.startswith('{"id":')
+
+
+def test_replace_table_with_another_schema(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS surtido_test LOCATION '{tmp_path}'")
+    sinks.replace_table(spark.range(3), "surtido_test.result")
+    sinks.replace_table(spark.range(2).withColumn("x", F.lit("a")), "surtido_test.result")
+    assert spark.table("surtido_test.result").columns == ["id", "x"]
+    spark.sql("DROP DATABASE surtido_test CASCADE")
+
+
+def test_incremental_load(spark, frames, tmp_path):
+    stored, log = str(tmp_path / "tx"), str(tmp_path / "log")
+    frames.sales([("1", "A", 1, "2024-01-01"), ("1", "A", 2, "2024-01-02")]).write.parquet(stored)
+    feed = frames.sales([("1", "A", 9, "2024-01-01"), ("1", "A", 2, "2024-01-02"),
+                         ("1", "A", 3, "2024-01-03"), ("1", "A", 4, "2024-01-04")])
+    assert sinks.load_increment(stored, feed, log, dt.datetime(2024, 1, 5)) == 2
+    assert sinks.load_increment(stored, feed, log, dt.datetime(2024, 1, 6)) == 0
+    assert spark.read.parquet(stored).count() == 4
+    row = spark.read.parquet(log).collect()
+    assert len(row) == 1 and (row[0].transacciones, row[0].estado) == (2, "exitoso")
+    assert (row[0].fecha_desde.day, row[0].fecha_hasta.day) == (2, 4)
+
+
+def test_later_rows_without_history(frames):
+    feed = frames.sales([("1", "A", 1, "2024-01-01"), ("1", "A", 2, "2024-01-02")])
+    empty = feed.where(F.lit(False))
+    assert sinks.later_rows(empty, feed, dt.datetime(2024, 1, 1)).count() == 1
+
+
+def test_update_inventory(frames, spark):
+    inv = frames.inventory([("1", "A", 5, 1, 9, 2), ("2", "A", 6, 1, 9, 2)])
+    changes = spark.createDataFrame(
+        [("A", "1", 40, dt.date(2024, 2, 1)), ("A", "1", 30, dt.date(2024, 2, 2)),
+         ("A", "9", 1, dt.date(2024, 2, 2))],
+        "location_id string, sku_id string, site_qty int, status_date date")
+    changes = changes.withColumn("site_qty", F.col("site_qty").cast("decimal(12,2)"))
+    rows = by(sinks.update_inventory(inv, changes), "sku_id")
+    assert len(rows) == 2 and rows["1"].site_qty == 30 and rows["1"].status_date.day == 2
+    assert rows["2"].site_qty == 6
+    assert sinks.updated_keys(inv, changes).first().actualizados == 1
+
+
+def test_freshness(frames):
+    tx = frames.sales([("1", "A", 1, "2024-01-05T18:00:00")])
+    r = sinks.freshness(tx, dt.date(2024, 1, 7)).first()
+    assert (r.dias_pendientes, r.al_dia) == (2, False)
+    assert sinks.freshness(tx, dt.date(2024, 1, 5)).first().al_dia
+
+
+def test_result_readers(frames):
+    tx = frames.tx([(str(i), "A", i, 10 + i, "venta", "2024-01-01") for i in range(1, 9)])
+    stored = schemas.to_result(
+        profitability(tx, frames.catalog([(i, 20, 5) for i in range(1, 9)])), "rentabilidad_sku")
+    page = reports.get_profitability(stored, limit=3)
+    index = [r.indice_rentabilidad for r in page.collect()]
+    assert len(index) == 3 and index == sorted(index, reverse=True)
+    assert reports.get_profitability(stored, "4").first().sku_id == "4"
+    assert reports.page_mean(page, "margen_porcentual", "m").first().total == 3
+
+
+def test_stream_ingest_equals_batch_and_repeats_nothing(spark, frames, tmp_path):
+    src, target, log, ck = (str(tmp_path / n) for n in ("src", "target", "log", "ck"))
+    days = [frames.sales([(str(i), "1", i, f"2024-01-{d:02d}") for i in range(1, 4)])
+            for d in (1, 2, 3)]
+    for df in days[:2]:
+        df.coalesce(1).write.mode("append").parquet(src)
+    for extra in (None, days[2], None):
+        if extra is not None:
+            extra.coalesce(1).write.mode("append").parquet(src)
+        stream = stm.transaction_stream(spark, src, files_per_batch=1)
+        stm.ingest(stream, target, log, ck).awaitTermination()
+    loaded = spark.read.parquet(target)
+    want = days[0].unionByName(days[1]).unionByName(days[2])
+    assert loaded.count() == 9
+    assert loaded.drop("batch").exceptAll(want).count() == 0
+    audit = spark.read.parquet(log).collect()
+    assert len(audit) == 3 and sum(r.transacciones for r in audit) == 9
+
+
+def test_stream_daily_sales_and_late_rows(spark, frames, tmp_path):
+    src, target, ck = (str(tmp_path / n) for n in ("src", "target", "ck"))
+
+    def feed(rows):
+        frames.sales(rows).coalesce(1).write.mode("append").parquet(src)
+        stream = stm.transaction_stream(spark, src, files_per_batch=1)
+        stm.write_daily_sales(stream, target, ck).awaitTermination()
+
+    feed([("a", "1", 2, "2024-01-01T08:00:00"), ("a", "1", 3, "2024-01-01T20:00:00"),
+          ("a", "2", 1, "2024-01-02"), ("a", "1", 4, "2024-01-10"), ("a", "W", 4, "2024-01-02")])
+    first = {(r.tienda_id, r.fecha.day): r.ventas_und for r in spark.read.parquet(target).collect()}
+    assert first == {(1, 1): 5.0, (2, 2): 1.0}
+    feed([("a", "1", 50, "2024-01-03"), ("a", "1", 6, "2024-01-09"), ("a", "1", 1, "2024-01-20")])
+    rows = {(r.tienda_id, r.fecha.day): r.ventas_und for r in spark.read.parquet(target).collect()}
+    # The row of the 3rd came after the watermark; the 9th was in time; the 20th is still open.
+    assert rows == {**first, (1, 9): 6.0, (1, 10): 4.0}
+
+
+def test_run_all_isolates_errors(spark, tmp_path):
+    base = Tables(td.transactions(spark, SF), td.catalog(spark, SF), td.stores(spark, SF),
+                  td.inventory(spark, SF).drop("min_stock"))
+    jobs = ["rentabilidad_sku", "rotacion_sku", "segmentacion_skus"]
+    rows = by(run_all(spark, base, str(tmp_path), jobs), "model")
+    assert [rows[j].status for j in jobs] == ["success", "error", "success"]
+    stored = spark.read.parquet(f"{tmp_path}/segmentacion_skus")
+    assert stored.columns == schemas.RESULT_COLUMNS["segmentacion_skus"]
+    assert stored.count() == rows["segmentacion_skus"].records_saved
+    assert set(JOBS) == set(schemas.RESULT_COLUMNS)
+    totals = reports.abc_totals(stored).first()
+    assert totals.total == totals.segmento_a + totals.segmento_b + totals.segmento_c
