@@ -107,27 +107,23 @@ def store_rollup(tx: DataFrame) -> DataFrame:
 def store_type_summary(tx: DataFrame) -> DataFrame:
     """Per-store totals by transaction type, in one scan.
 
-    Pair level first: a SKU is then counted once per store by a flag, so no
-    distinct aggregate has to expand the raw rows.
+    By store, SKU and type first: a SKU then counts once per store and type, so
+    no distinct aggregate has to expand the raw rows.
     """
-    def of(kind: str, value: Column) -> Column:
-        return F.when(F.col("type") == kind, value)
-
     names = {SALE: ("total_ventas", "transac_ventas"),
              REPLENISHMENT: ("total_repuesto", "num_reposiciones"),
              RETURN: ("total_devuelto", "num_devoluciones"),
              TRANSFER: ("total_trasladado", "num_traslados")}
-    pair_aggs, store_aggs = [], []
+    skus = (tx.groupBy(F.col("target_location_id").alias("tienda_id"), "sku_id", "type")
+            .agg(F.sum("quantity").alias("units"), F.count("quantity").alias("rows")))
+    aggs = []
     for kind, (total, number) in names.items():
-        pair_aggs += [F.sum(of(kind, F.col("quantity"))).alias(total),
-                      F.count(of(kind, F.col("quantity"))).alias(number)]
-        store_aggs += [F.sum(total).cast("double").alias(total), F.sum(number).alias(number)]
-    pairs = (tx.select(F.col("target_location_id").alias("tienda_id"), "sku_id", "type", "quantity")
-             .groupBy("tienda_id", "sku_id").agg(*pair_aggs))
-    return pairs.groupBy("tienda_id").agg(
-        *store_aggs,
-        F.count_if(F.col("transac_ventas") > 0).alias("skus_vendidos"),
-        F.count_if(F.col("num_reposiciones") > 0).alias("skus_repuestos"))
+        here = F.col("type") == kind
+        aggs += [F.sum(F.when(here, F.col("units"))).cast("double").alias(total),
+                 F.coalesce(F.sum(F.when(here, F.col("rows"))), F.lit(0)).alias(number)]
+    return skus.groupBy("tienda_id").agg(
+        *aggs, F.count_if(F.col("type") == SALE).alias("skus_vendidos"),
+        F.count_if(F.col("type") == REPLENISHMENT).alias("skus_repuestos"))
 
 
 def store_selling_days(tx: DataFrame) -> DataFrame:

@@ -126,8 +126,12 @@ def quarter_pivot(daily: DataFrame) -> DataFrame:
 
 def compliance_stores(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.date,
                       last: dt.date, as_of: dt.date) -> DataFrame:
-    """The relational part of the report: one row per store, without ranking and models."""
-    daily = compliance_daily(targets, stores, tx, first, last)
+    """The relational part of the report: one row per store, without ranking and models.
+
+    The daily frame is written once: its four readers need different columns, and
+    would otherwise scan the transactions once each.
+    """
+    daily = materialize(compliance_daily(targets, stores, tx, first, last), "compliance-daily")
     return _join_parts(daily, as_of)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -35,11 +35,13 @@ def ingest(stream: DataFrame, target: str, audit: str, checkpoint: str,
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{target}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
-        row = spark.read.schema(batch.schema).parquet(path).agg(
-            F.min("transaction_date"), F.max("transaction_date"), F.count("*")).first()
-        audit_row(spark, clock(), *row).write.mode("overwrite").parquet(f"{audit}/batch={batch_id}")
+        seen = Observation()
+        (batch.observe(seen, F.min("transaction_date").alias("first"),
+                       F.max("transaction_date").alias("last"), F.count(F.lit(1)).alias("rows"))
+         .write.mode("overwrite").parquet(f"{target}/batch={batch_id}"))
+        got = seen.get
+        audit_row(spark, clock(), got["first"], got["last"], got["rows"]).write.mode(
+            "overwrite").parquet(f"{audit}/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
