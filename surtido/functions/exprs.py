@@ -75,7 +75,7 @@ def lookup(c: Column | str, table: Mapping, default) -> Column:
     out = None
     for key, value in table.items():
         out = F.when(c == key, F.lit(value)) if out is None else out.when(c == key, F.lit(value))
-    return out.otherwise(F.lit(default))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
 def iso_week_key(d: Column | str, calendar_year: bool = False) -> tuple[Column, Column]:

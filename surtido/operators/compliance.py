@@ -193,6 +193,16 @@ def podium(report: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:
     return best.orderBy("ranking"), worst.orderBy("ranking")
 
 
+def store_rows(report: DataFrame) -> DataFrame:
+    """The per-store records of the report, in whole currency units."""
+    return report.select(
+        "ranking", "tienda_id", "tienda_nombre", "ciudad", "region", "formato", "tier", "tendencia",
+        "slope", "es_anomalia", rnd("ventas_cop_total").alias("ventas_cop"),
+        rnd("meta_cop_total").alias("meta_cop"), "pct_cumplimiento_cop", "pct_cumplimiento_und",
+        "pct_semanal", "pct_mensual", "proyeccion_cop", "meta_mensual_cop", "pct_proyeccion",
+        "ticket_promedio", "dias_sobre_meta", "pct_dias_sobre_meta", "mejor_dia_cop")
+
+
 @dataclass
 class ComplianceReport:
     """The parts of the report, each a DataFrame."""
@@ -218,7 +228,8 @@ def compliance(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.d
     flags = anomalous_stores(summary).select("tienda_id", "es_anomalia")
     tiers = compliance_tiers(summary, restarts).select("tienda_id", "tier")
     full = summary.join(tiers, "tienda_id").join(flags, "tienda_id")
-    report = ranked(full, by_compliance())
-    best, worst = podium(report)
-    return ComplianceReport(report, executive_summary(report), best, worst, alerts(report),
+    report = materialize(ranked(full, by_compliance()), "compliance-report")
+    rows = store_rows(report)
+    best, worst = podium(rows)
+    return ComplianceReport(rows, executive_summary(report), best, worst, alerts(rows),
                             quarter_pivot(daily))

@@ -50,8 +50,10 @@ def get_rotation(stored: DataFrame, sku: str | None = None, limit: int = PAGE) -
                F.asc("sku_id"), F.asc("tienda_id"))
 
 
-def get_efficiency(stored: DataFrame, store: str | None = None) -> DataFrame:
-    return where_equal(stored, tienda_id=store).orderBy(F.desc("indice_eficiencia"), "tienda_id")
+def get_efficiency(stored: DataFrame, store: str | None = None,
+                   limit: int | None = None) -> DataFrame:
+    rows = where_equal(stored, tienda_id=store).orderBy(F.desc("indice_eficiencia"), "tienda_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def get_segmentation(stored: DataFrame, segment: str | None = None) -> DataFrame:
@@ -59,9 +61,10 @@ def get_segmentation(stored: DataFrame, segment: str | None = None) -> DataFrame
     return where_equal(stored, segmento_abc=wanted).orderBy("acumulado", "sku_id")
 
 
-def get_rules(stored: DataFrame, min_lift: float = 1.0) -> DataFrame:
-    return stored.where(F.col("lift") >= min_lift).orderBy(
+def get_rules(stored: DataFrame, min_lift: float = 1.0, limit: int | None = None) -> DataFrame:
+    rows = stored.where(F.col("lift") >= min_lift).orderBy(
         F.desc("lift"), "sku_origen", "sku_destino")
+    return rows if limit is None else rows.limit(limit)
 
 
 def page_mean(page: DataFrame, value: str, out: str) -> DataFrame:
@@ -141,8 +144,7 @@ def compliance_chart(report: DataFrame, n: int = 15) -> DataFrame:
                       F.concat(F.lit("T"), F.col("tienda_id").cast("string")))
     rows = top(report, n, F.desc("pct_cumplimiento_cop"), F.asc("tienda_id"))
     return rows.select(name.alias("name"), "pct_cumplimiento_cop",
-                       F.col("ventas_cop_total").alias("ventas_cop"),
-                       F.col("meta_cop_total").alias("meta_cop"))
+                       "ventas_cop", "meta_cop")
 
 
 def tier_counts(report: DataFrame) -> DataFrame:

@@ -82,6 +82,7 @@ def store_segmentation_simple(tx: DataFrame, *, k: int = 3, restarts: int = 10)
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:
+    means = {"ventas_totales": "ventas_prom", "num_skus": "skus_prom", "stock_total": "stock_prom"}
     return segments.groupBy("segmento_tienda").agg(
-        F.count("tienda_id").alias("num_tiendas"), F.avg("ventas_totales").alias("ventas_prom"),
-        F.avg("num_skus").alias("skus_prom"))
+        F.count("tienda_id").alias("num_tiendas"),
+        *[F.avg(c).alias(name) for c, name in means.items() if c in segments.columns])

@@ -361,6 +361,7 @@ STORE_ROLLUP = f"""{PAIRS}, srol AS (SELECT tienda_id, sum(unidades) AS ventas_t
 
 PRODUCT = f"""sku_id, p_name AS nombre, categoria, marca, price AS precio, cost AS costo,
   NULL::VARCHAR AS departamento, NULL::VARCHAR AS tipolinea, temporada AS season,
+  price - cost AS margen,
   {rnd(div("price - cost", "price") + " * 100.0", 2)} AS margen_porcentual"""
 
 STORE = "tienda_id, nombre, ciudad, region, formato, clima, zona"
@@ -417,7 +418,8 @@ def add(name: str, ctes: str, select: str, six: str = "") -> None:
 # --- scans and filters -----------------------------------------------------------------
 add("scan_catalog", "", f"SELECT {PRODUCT} FROM cat")
 add("products_page", "", f"SELECT {PRODUCT} FROM (SELECT * FROM cat ORDER BY id LIMIT 200)")
-add("catalog_margin", "", f"SELECT sku_id, precio, costo, margen_porcentual FROM (SELECT {PRODUCT} FROM cat)")
+add("catalog_margin", "", f"""SELECT sku_id, precio, costo, margen,
+  margen_porcentual FROM (SELECT {PRODUCT} FROM cat)""")
 add("scan_stores", "", f"SELECT {STORE} FROM st")
 add("point_lookup", "", f"SELECT {PRODUCT} FROM cat WHERE id = 17")
 add("date_range", STORE_DAY, """SELECT tienda_id::BIGINT AS tienda_id, fecha::VARCHAR AS fecha,
@@ -444,6 +446,9 @@ add("guarded_division", STORE_TYPES, f"""SELECT tienda_id,
     "devuelto_vendido traslado_reposicion")
 add("clip_nulls", PAIRS, f"""SELECT sku_id, tienda_id, {clip("site_qty", 5.0, 60.0)} AS stock
   FROM pairs LEFT JOIN inv USING (sku_id, tienda_id)""")
+add("stock_needs", "", """SELECT sku_id, tienda_id, site_qty - reserved_qty AS stock_disponible,
+  site_qty + transit_qty AS stock_total_cadena,
+  site_qty - reserved_qty <= min_stock AS necesita_reposicion FROM inv""")
 
 # --- joins -----------------------------------------------------------------------------
 add("join_demand_inventory", PAIRS, """SELECT sku_id, tienda_id, unidades AS demanda_anual,
@@ -543,6 +548,12 @@ add("top3_bottom3", RANKED, """SELECT * FROM rk WHERE ranking <= 3
 add("compliance_chart", f"{compliance_daily()}, {STORE_SUMMARY}", """SELECT
   left(tienda_nombre, 12) AS name, pct_cumplimiento_cop, ventas_cop_total AS ventas_cop,
   meta_cop_total AS meta_cop FROM ss ORDER BY pct_cumplimiento_cop DESC, tienda_id LIMIT 15""")
+add("rotation_page", ROTATION, """SELECT sku_id, tienda_id, indice_velocidad FROM rot
+  ORDER BY indice_velocidad DESC NULLS LAST, sku_id, tienda_id LIMIT 100""")
+add("efficiency_ranking", EFFICIENCY, """SELECT tienda_id, indice_eficiencia, cobertura_reposicion
+  FROM eff ORDER BY indice_eficiencia DESC, tienda_id LIMIT 10""")
+add("segment_a", ABC_API, "SELECT * EXCLUDE (cantidad_total) FROM abc WHERE segmento_abc = 'A'",
+    "participacion acumulado")
 
 # --- analytics -------------------------------------------------------------------------
 add("eoq", EOQ, "SELECT * FROM eoqr", "demanda_diaria_prom")

@@ -85,7 +85,7 @@ def products_page(spark, d):
 @query
 def catalog_margin(spark, d):
     return tables.products(td.catalog(spark, d), limit=None).select(
-        "sku_id", "precio", "costo", "margen_porcentual")
+        "sku_id", "precio", "costo", "margen", "margen_porcentual")
 
 
 @query
@@ -178,6 +178,11 @@ def clip_nulls(spark, d):
     return stock.select("sku_id", "tienda_id", clip("site_qty", 5.0, 60.0).alias("stock"))
 
 
+@query
+def stock_needs(spark, d):
+    return anm.stock_needs(td.inventory(spark, d))
+
+
 # --- joins -----------------------------------------------------------------------------
 
 @query
@@ -408,7 +413,29 @@ def top3_bottom3(spark, d):
 
 @query
 def compliance_chart(spark, d):
-    return reports.compliance_chart(cmp.store_summary(_daily(spark, d)))
+    summary = cmp.store_summary(_daily(spark, d))
+    return reports.compliance_chart(summary.withColumnsRenamed(
+        {"ventas_cop_total": "ventas_cop", "meta_cop_total": "meta_cop"}))
+
+
+@query
+def rotation_page(spark, d):
+    df = prf.rotation(td.transactions(spark, d), td.inventory(spark, d), td.catalog(spark, d))
+    return reports.get_rotation(df, limit=100).select("sku_id", "tienda_id", "indice_velocidad")
+
+
+@query
+def efficiency_ranking(spark, d):
+    df = rpl.replenishment_efficiency(td.transactions(spark, d), td.inventory(spark, d),
+                                      td.stores(spark, d))
+    return reports.get_efficiency(df, limit=10).select(
+        "tienda_id", "indice_eficiencia", "cobertura_reposicion")
+
+
+@query
+def segment_a(spark, d):
+    return reports.get_segmentation(
+        seg.abc_segmentation(td.transactions(spark, d)), "a").drop("cantidad_total")
 
 
 # --- analytics -------------------------------------------------------------------------
@@ -492,6 +519,12 @@ def store_segments_simple(spark, d):
     return seg.store_segmentation_simple(td.transactions(spark, d))
 
 
+@query
+def store_segment_summary(spark, d):
+    return seg.segment_summary(seg.store_segmentation(
+        td.transactions(spark, d), td.inventory(spark, d), td.stores(spark, d), k=3, restarts=4))
+
+
 @query
 def target_calendar(spark, d):
     return tgt.target_calendar(td.stores(spark, d), *YEAR_1998)
@@ -539,8 +572,17 @@ def compliance_alerts(spark, d):
 @query
 def compliance_tiers(spark, d):
     return _compliance_full(spark, d).tiendas.select(
-        "ranking", "tienda_id", "tier", "pct_cumplimiento_cop", "pct_dias_sobre_meta",
-        "cumplimiento_prom")
+        "ranking", "tienda_id", "tier", "pct_cumplimiento_cop", "pct_dias_sobre_meta")
+
+
+@query
+def compliance_report(spark, d):
+    return _compliance_full(spark, d).tiendas
+
+
+@query
+def compliance_executive(spark, d):
+    return _compliance_full(spark, d).resumen_ejecutivo.drop("distribucion_tiers")
 
 
 @query
@@ -582,6 +624,12 @@ def anomalies(spark, d):
         "score_anomalia")
 
 
+@query
+def anomaly_types(spark, d):
+    return reports.anomaly_groups(
+        anm.inventory_anomalies(td.inventory(spark, d), td.transactions(spark, d)))
+
+
 @query
 def risk_stats(spark, d):
     return rsk.risk_stats(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
@@ -592,6 +640,12 @@ def stockout_risk(spark, d):
     return rsk.stockout_risk(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
 
 
+@query
+def risk_levels(spark, d):
+    found = rsk.stockout_risk(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
+    return reports.class_groups(found, "nivel_riesgo", "Desconocido")
+
+
 @query
 def forecast(spark, d):
     return fct.forecast_demand(td.transactions(spark, d, "brand"))
@@ -603,6 +657,11 @@ def forecast_top10(spark, d):
         fct.forecast_demand(td.transactions(spark, d, "brand"), top_n=10))
 
 
+@query
+def forecast_totals(spark, d):
+    return reports.forecast_totals(fct.forecast_demand(td.transactions(spark, d, "brand")))
+
+
 @query
 def forecast_wide(spark, d):
     return reports.forecast_wide(fct.forecast_demand(td.transactions(spark, d, "brand")))

@@ -76,8 +76,9 @@ def products(catalog: DataFrame, limit: int | None = 200) -> DataFrame:
         F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("costo"),
         F.col("department_name").alias("departamento"),
         F.col("custom_tipolinea").alias("tipolinea"), F.col("seasons").alias("season"), "id")
-    margin = rnd(guarded_div(F.col("precio") - F.col("costo"), "precio") * 100, 2)
-    out = out.withColumn("margen_porcentual", margin)
+    gain = F.col("precio") - F.col("costo")
+    out = out.withColumns({"margen": gain,
+                           "margen_porcentual": rnd(guarded_div(gain, "precio") * 100, 2)})
     if limit is not None:
         out = out.orderBy("id").limit(limit)
     return out.drop("id")
