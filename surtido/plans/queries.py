@@ -772,7 +772,7 @@ def run_all_models(spark, d):
     base = Tables(td.transactions(spark, d, "brand"), td.catalog(spark, d, "brand"),
                   td.stores(spark, d), td.inventory(spark, d, "brand"))
     status = run_all(spark, base, new_path(spark, "resultados"),
-                     options={"predicciones": {"max_iter": 5},
+                     options={"predicciones_lgbm": {"max_iter": 5},
                               "segmentacion_tiendas": {"restarts": 2}})
     return status.select("model", "status", "records_saved")
 

@@ -12,7 +12,10 @@ SQLS = entry.oracle_sql()
 QUERIES = entry.queries()
 # At this scale sets of four items reach the support of the rules' SQL.
 OTHER_SCALE = {"basket_rules", "basket_top_rules"}
-SLOW = {"run_all_models", "kpis", "store_segments"}
+# Variants of model runs that other tests cover.
+SLOW = {"run_all_models", "kpis", "store_segments", "store_segment_summary", "compliance_executive",
+        "compliance_anomalies", "compliance_tiers", "anomaly_types", "risk_levels",
+        "forecast_totals", "forecast_top10", "predict", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +44,9 @@ def test_rules_equal_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQLS) - SLOW))
 def test_model_query_gives_rows(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.count() > 0
+    assert len(df.collect()) > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
 def test_entry(spark):

@@ -1,0 +1,50 @@
+import pytest
+from conftest import SF
+
+from surtido.plans.run_all import JOBS, Tables, run_all
+from surtido.plans.stored import StoredResults
+from surtido.schemas import RESULT_COLUMNS
+from surtido.sources import testdata as td
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("results"))
+    base = Tables(td.transactions(spark, SF, "brand"), td.catalog(spark, SF, "brand"),
+                  td.stores(spark, SF), td.inventory(spark, SF, "brand"))
+    status = run_all(spark, base, out, options={
+        "predicciones_lgbm": {"max_iter": 3}, "segmentacion_tiendas": {"restarts": 1},
+        "market_basket": {"by": "receipt", "supports": (0.01,), "min_conf": 0.05},
+        "anomalias_inventario": {"trees": 20}}).collect()
+    assert {r.model for r in status} == set(JOBS)
+    assert {r.status for r in status} == {"success"}, [r.message for r in status]
+    return StoredResults(spark, out)
+
+
+def test_every_table_has_its_columns(stored):
+    for name, columns in RESULT_COLUMNS.items():
+        assert stored.table(name).columns == columns
+
+
+def test_pages_and_totals(stored):
+    limited = [stored.forecasts(limit=7), stored.predictions(limit=7), stored.anomalies(limit=7),
+               stored.profitability(limit=7), stored.rotation(limit=7)]
+    for page in limited:
+        assert page.rows.count() == 7 and page.totals.first().total == 7
+    for page in (stored.eoq(), stored.risk(), stored.efficiency(), stored.segmentation(),
+                 stored.store_segments(), stored.rules(0.0)):
+        n = page.rows.count()
+        assert n > 0 and page.totals.first().total == n
+
+
+def test_filters(stored):
+    sku = stored.eoq().rows.first()
+    one = stored.eoq(sku.sku_id, sku.tienda_id).rows.collect()
+    assert len(one) == 1 and one[0].eoq == sku.eoq
+    assert stored.risk("no such sku").totals.first().total == 0
+    assert {r.segmento_abc for r in stored.segmentation("b").rows.collect()} <= {"B"}
+    assert stored.predictions(sku.sku_id).totals.first().mae > 0
+    kind = stored.anomalies(limit=1).rows.first().tipo_anomalia
+    assert {r.tipo_anomalia for r in stored.anomalies(kind).rows.collect()} == {kind}
+    lifts = [r.lift for r in stored.rules(1.0).rows.collect()]
+    assert lifts == sorted(lifts, reverse=True)
