@@ -16,7 +16,7 @@ from surtido.session import build_session
 HEADLINE = [
     "profitability", "eoq", "rotation", "efficiency", "abc_api", "abc_detail", "pair_demand",
     "daily_series", "daily_by_store", "store_type_summary", "inventory_by_store", "sku_rollup",
-    "compliance_stores", "compliance_trend", "compliance_tiers", "target_calendar",
+    "compliance_stores", "compliance_trend", "compliance_tiers", "compliance_report", "target_calendar",
     "basket_pairs", "basket_rules", "anomaly_features", "anomalies", "risk_stats", "stockout_risk",
     "forecast", "predict_features", "predict", "store_metrics", "store_segments_simple",
     "incremental_load", "inventory_update", "stream_ingest", "stream_daily_sales",

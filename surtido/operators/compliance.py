@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -225,9 +226,12 @@ def compliance(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.d
     if daily.isEmpty():
         raise ValueError("Sin metas para el período indicado")
     summary = materialize(_join_parts(daily, as_of), "compliance-stores")
-    flags = anomalous_stores(summary).select("tienda_id", "es_anomalia")
-    tiers = compliance_tiers(summary, restarts).select("tienda_id", "tier")
-    full = summary.join(tiers, "tienda_id").join(flags, "tienda_id")
+    with ThreadPool(2) as pool:  # two independent fits on the same table
+        fit_tiers = pool.apply_async(compliance_tiers, (summary, restarts))
+        fit_flags = pool.apply_async(anomalous_stores, (summary,))
+        tiers, flags = fit_tiers.get(), fit_flags.get()
+    full = (summary.join(tiers.select("tienda_id", "tier"), "tienda_id")
+            .join(flags.select("tienda_id", "es_anomalia"), "tienda_id"))
     report = materialize(ranked(full, by_compliance()), "compliance-report")
     rows = store_rows(report)
     best, worst = podium(rows)

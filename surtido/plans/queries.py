@@ -31,7 +31,7 @@ from surtido.operators import (
     targets as tgt,
 )
 from surtido.plans.run_all import Tables, run_all
-from surtido.session import new_path
+from surtido.session import materialize, new_path
 from surtido.sources import sinks, tables, testdata as td
 from surtido.streaming import ingest as stm
 
@@ -569,10 +569,14 @@ def compliance_alerts(spark, d):
     return cmp.alerts(_compliance(spark, d)).select("tienda_id", "tienda_nombre", "pct_proyeccion")
 
 
+def _store_summary(spark, d):
+    return materialize(cmp.store_summary(_daily(spark, d)), "compliance-stores")
+
+
 @query
 def compliance_tiers(spark, d):
-    return _compliance_full(spark, d).tiendas.select(
-        "ranking", "tienda_id", "tier", "pct_cumplimiento_cop", "pct_dias_sobre_meta")
+    return cmp.compliance_tiers(_store_summary(spark, d)).select(
+        "tienda_id", "tier", "pct_cumplimiento_cop", "pct_dias_sobre_meta", "cumplimiento_prom")
 
 
 @query
@@ -587,7 +591,8 @@ def compliance_executive(spark, d):
 
 @query
 def compliance_anomalies(spark, d):
-    return _compliance_full(spark, d).tiendas.select("ranking", "tienda_id", "es_anomalia")
+    return cmp.anomalous_stores(_store_summary(spark, d)).select(
+        "tienda_id", "es_anomalia", "score_anomalia")
 
 
 # --- baskets ---------------------------------------------------------------------------
