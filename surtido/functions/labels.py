@@ -84,3 +84,23 @@ SHORT_MONTH_DAYS = 22
 
 # Working days per week used for the weekly target
 WEEK_DAYS = 6
+
+# Model inputs: inventory anomalies
+ANOMALY_FEATURES = ("site_qty", "transit_qty", "reserved_qty", "min_stock", "max_stock", "lead_time",
+                    "venta_diaria_prom", "venta_total", "cobertura_dias", "ratio_stock_min",
+                    "ratio_stock_max", "stock_disponible")
+
+# Model inputs: store clusters
+STORE_FEATURES = ("ventas_totales", "venta_promedio", "precio_promedio", "num_skus",
+                  "transacciones", "stock_total", "lead_time")
+
+# Model inputs: compliance tiers and anomalous stores
+TIER_FEATURES = ("pct_cumplimiento_cop", "pct_dias_sobre_meta", "cumplimiento_prom")
+
+# Model inputs: daily demand, the text ones and all
+DEMAND_CATEGORIES = ("clima", "zona", "formato", "ciudad", "categoria", "marca", "temporada",
+                     "talla", "tipo_linea")
+DEMAND_FEATURES = ("dia_semana", "mes", "semana", "es_fin_semana", "temporada_alta",
+                   "clima", "zona", "formato", "ciudad", "lead_time",
+                   "categoria", "marca", "temporada", "talla", "tipo_linea",
+                   "price", "cost", "margen", "precio_promedio")

@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surtido.functions.exprs import as_double, non_zero, rnd
-from surtido.functions.labels import TIERS, TREND_DOWN, TREND_FLAT, TREND_NONE, TREND_UP
+from surtido.functions.labels import (
+    TIER_FEATURES,
+    TIERS,
+    TREND_DOWN,
+    TREND_FLAT,
+    TREND_NONE,
+    TREND_UP,
+)
 from surtido.operators.aggregates import daily_by_store
 from surtido.operators.clustering import kmeans_labels
 from surtido.operators.isolation import flag_outliers
 from surtido.operators.ordered import ranked
 from surtido.session import materialize
 
-TIER_FEATURES = ("pct_cumplimiento_cop", "pct_dias_sobre_meta", "cumplimiento_prom")
-
 
 def pct(num, den, digits: int = 2):
     return rnd(as_double(num) / non_zero(den) * 100.0, digits)

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surtido.functions.exprs import as_double
-from surtido.functions.labels import ABC_LONG, ABC_SHORT, STORE_LEVELS, STORE_UNCLASSIFIED
+from surtido.functions.labels import (
+    ABC_LONG,
+    ABC_SHORT,
+    STORE_FEATURES,
+    STORE_LEVELS,
+    STORE_UNCLASSIFIED,
+)
 from surtido.operators.aggregates import inventory_by_store, sku_rollup, store_rollup
 from surtido.operators.clustering import kmeans_labels
 from surtido.operators.ordered import running_totals
 from surtido.session import materialize
 from surtido.sources.tables import sales, store_view
 
-STORE_FEATURES = ("ventas_totales", "venta_promedio", "precio_promedio", "num_skus",
-                  "transacciones", "stock_total", "lead_time")
-
 
 def abc_segmentation(tx: DataFrame, *, scale: float = 100.0, cuts: tuple[float, float] = (0.70, 0.90),
                      labels: Sequence[str] = ABC_SHORT, detail: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from conftest import SF, by
@@ -61,11 +62,22 @@ def test_work_dir_reads_the_session(spark):
     assert df.count() == 5 and df.schema["id"].dataType.typeName() == "long"
 
 
+def test_cluster_without_shared_folder_is_an_error():
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: default),
+        sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app-1"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(cluster)
+    cluster.conf.get = lambda key, default=None: "hdfs:///shared/"
+    assert work_dir(cluster) == "hdfs:///shared/app-1"
+
+
 def test_save_append_and_replace(spark, tmp_path):
     path = str(tmp_path / "t")
     assert sinks.save_result(spark.range(5), path) == 5
     assert sinks.save_result(spark.range(3), path) == 3
     assert spark.read.parquet(path).count() == 3
+    assert sinks.save_result(spark.range(3).where(F.lit(False)), str(tmp_path / "none")) == 0
     log = str(tmp_path / "log")
     sinks.append_result(spark.range(2), log, dt.datetime(2024, 1, 1))
     sinks.append_result(spark.range(2), log, dt.datetime(2024, 1, 2))
