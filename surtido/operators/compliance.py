@@ -78,12 +78,28 @@ def day_index(daily: DataFrame, key: str = "tienda_id") -> DataFrame:
 
 
 def trend(daily: DataFrame, key: str = "tienda_id", y: str = "pct_diario_cop") -> DataFrame:
-    """Least-squares slope and fit per store; fewer than three days give no trend."""
-    df = day_index(daily, key).withColumn("_y", F.coalesce(F.col(y), F.lit(0.0)))
-    enough = F.count("*") >= 3
+    """Least-squares slope and fit per store; fewer than three days give no trend.
+
+    ``y`` is a percentage with two decimals, so its sums are kept exact, and the
+    result does not depend on the order of the rows. A constant series fits fully.
+    """
+    df = day_index(daily, key).withColumns({
+        "_y": F.coalesce(F.col(y), F.lit(0.0)).cast("decimal(20,2)"),
+        "_x": F.col("dia").cast("decimal(10,0)")})
     s = df.groupBy(key).agg(
-        F.when(enough, F.regr_slope("_y", "dia")).alias("_slope"),
-        F.when(enough, F.regr_r2("_y", "dia")).alias("_r2"))
+        F.count("*").cast("decimal(12,0)").alias("n"), F.sum("_x").alias("sx"),
+        F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
+        F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"))
+
+    def spread(product: str, a: str, b: str):
+        return (F.col("n") * F.col(product) - F.col(a) * F.col(b)).cast("double")
+
+    s = s.select(key, "n", spread("sxy", "sx", "sy").alias("xy"), spread("sxx", "sx", "sx").alias("xx"),
+                 spread("syy", "sy", "sy").alias("yy"))
+    fit = F.when(F.col("yy") == 0, F.lit(1.0)).otherwise(
+        F.col("xy") * F.col("xy") / non_zero(F.col("xx") * F.col("yy")))
+    s = s.withColumns({"_slope": F.when(F.col("n") >= 3, F.col("xy") / non_zero("xx")),
+                       "_r2": F.when(F.col("n") >= 3, fit)})
     slope = F.col("_slope")
     label = (F.when(slope.isNull(), TREND_NONE).when(slope > 0.5, TREND_UP)
              .when(slope > -0.5, TREND_FLAT).otherwise(TREND_DOWN))

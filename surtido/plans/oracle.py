@@ -202,9 +202,13 @@ TREND = f"""di AS (SELECT *, row_number() OVER (PARTITION BY tienda_id ORDER BY
 tr AS (SELECT tienda_id, {rnd("m", 4)} AS slope, {rnd("r", 4)} AS r2,
     CASE WHEN m IS NULL THEN '{TREND_NONE}' WHEN m > 0.5 THEN '{TREND_UP}'
       WHEN m > -0.5 THEN '{TREND_FLAT}' ELSE '{TREND_DOWN}' END AS tendencia
-  FROM (SELECT tienda_id, CASE WHEN count(*) >= 3 THEN regr_slope(pct_diario_cop, dia) END AS m,
-      CASE WHEN count(*) >= 3 THEN regr_r2(pct_diario_cop, dia) END AS r
-    FROM di GROUP BY tienda_id))"""
+  FROM (SELECT tienda_id, CASE WHEN n >= 3 THEN xy / xx END AS m,
+      CASE WHEN n >= 3 THEN CASE WHEN yy = 0 THEN 1.0 ELSE xy * xy / (xx * yy) END END AS r
+    FROM (SELECT tienda_id, count(*) AS n,
+        (count(*) * sum(dia * y) - sum(dia) * sum(y))::DOUBLE / 100 AS xy,
+        (count(*) * sum(dia * dia) - sum(dia) * sum(dia))::DOUBLE AS xx,
+        (count(*) * sum(y * y) - sum(y) * sum(y))::DOUBLE / 10000 AS yy
+      FROM (SELECT *, round(pct_diario_cop * 100)::BIGINT AS y FROM di) GROUP BY tienda_id)))"""
 
 WEEK_MONTH = f"""wk AS (SELECT *, {rnd("ventas_semana / meta_semana * 100.0", 2)} AS pct_semanal
   FROM (SELECT tienda_id, sum(ventas_cop) AS ventas_semana,
