@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surtido.functions.exprs import high_season, lookup
+from surtido.functions.exprs import high_season, lookup, rnd
 from surtido.functions.labels import (
     LONG_MONTH_DAYS,
     LONG_MONTHS,
@@ -72,7 +72,6 @@ def target_calendar(stores: DataFrame, first: dt.date, last: dt.date,
 
 def targets_by_year(targets: DataFrame) -> DataFrame:
     """Validation summary of a target table."""
-    from surtido.functions.exprs import rnd
     return targets.groupBy("anio").agg(
         F.count("*").alias("registros"),
         F.count_distinct("tienda_id").alias("tiendas"),

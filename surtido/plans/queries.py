@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surtido.functions.exprs import classify, clip, guarded_div, rnd
+from surtido.functions.exprs import classify, clip, guarded_div, high_season, rnd
 from surtido.functions.labels import ROTATION_DEFAULT, ROTATION_LADDER
 from surtido.operators import (
     aggregates as agg,
@@ -125,7 +125,6 @@ def text_search(spark, d):
 
 @query
 def in_list(spark, d):
-    from surtido.functions.exprs import high_season
     rows = tables.sales(td.transactions(spark, d)).where(high_season("transaction_date"))
     return rows.groupBy(F.month("transaction_date").alias("mes")).agg(
         F.count("*").alias("filas"), F.sum("quantity").alias("unidades"))
