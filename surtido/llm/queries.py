@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surtido.llm.line_dedup import dedup_lines
 from surtido.llm.sharding import shard_rows
+from surtido.llm.substring_dedup import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +31,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op8_sharding": op8_sharding,
+    "op9_substring_dedup": op9_substring_dedup,
 }

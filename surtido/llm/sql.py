@@ -40,7 +40,31 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' A
 FROM cut
 """
 
+OP9 = r"""
+WITH split_words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+spans AS (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS head FROM split_words),
+grams AS (
+  SELECT doc_id, head, array_to_string(words[head:head + 12], ' ') AS gram FROM spans),
+least_doc AS (
+  SELECT gram, min(doc_id) AS first_doc FROM grams GROUP BY gram),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(head, head + 13)) AS pos
+  FROM grams JOIN least_doc USING (gram) WHERE doc_id > first_doc),
+each AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split_words),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) FILTER (WHERE g.pos IS NULL) AS body,
+         count(g.pos) AS n_removed
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM split_words LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE = {
     "op1_line_dedup": OP1,
     "op8_sharding": OP8,
+    "op9_substring_dedup": OP9,
 }
