@@ -16,7 +16,7 @@ from surtido.llm.wordspans import (
 )
 
 BUCKETS = 1 << 18
-PSEUDO_COUNT = 1.0
+PSEUDO_COUNT = 30.0      # corpus n-grams added to each bucket
 THRESHOLD = -0.2         # log ratio an n-gram; below it a document goes
 TARGET_ROWS = 200_000    # bound on the labelled documents that make the target
 MIN_WORDS = 10
@@ -111,8 +111,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                pseudo_count: float = PSEUDO_COUNT, target_rows: int = TARGET_ROWS) -> np.ndarray:
     """log(target probability / corpus probability) of each n-gram bucket.
 
-    Both multinomials are smoothed by ``pseudo_count`` a bucket. Without a target
-    document all ratios are 0. The driver gets ``buckets`` rows, whatever the corpus.
+    Both multinomials get ``pseudo_count`` n-grams a bucket, in the target as many as fit
+    its share of the corpus, so a rare n-gram's ratio is near 0 at any corpus size.
+    Without a target document all ratios are 0. The driver gets ``buckets`` rows,
+    whatever the corpus.
     """
     ids = target_ids(labels, target_rows).withColumn("is_target", F.lit(True))
     marked = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
@@ -123,8 +125,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     n[where], target[where] = found["n"].to_numpy(), found["n_target"].to_numpy()
     if not target.any():
         return np.zeros(buckets)
-    smooth = lambda x: np.log(x + pseudo_count) - np.log(x.sum() + pseudo_count * buckets)
-    return smooth(target) - smooth(n)
+    share = target.sum() / n.sum()
+    return np.log(target / share + pseudo_count) - np.log(n + pseudo_count)
 
 
 def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
