@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from surtido.llm.line_dedup import dedup_lines
 from surtido.llm.packing import pack
+from surtido.llm.quality_classifier import classify
 from surtido.llm.quality_rules import judge
 from surtido.llm.sharding import shard_rows
 from surtido.llm.simhash import hex16, near_duplicates
 from surtido.llm.substring_dedup import dedup_substrings
+from surtido.llm.url_filter import filter_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,6 +32,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, _table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -60,6 +73,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
