@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surtido.llm.decontamination import leaks_by_document
+from surtido.llm.html_extraction import extract
 from surtido.llm.line_dedup import dedup_lines
 from surtido.llm.packing import pack
 from surtido.llm.quality_classifier import classify
@@ -43,6 +45,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks_by_document(docs, _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "contaminated", "n_items", "item_ids", "best_share")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -71,13 +79,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
