@@ -63,11 +63,14 @@ def template_windows(df: DataFrame, key: list[str], window: int = WINDOW) -> Dat
 
     ``h`` is the hash of the window's template, ``slots`` its slots' values in place.
     """
-    # Both arrays are named more than once, so that no optimizer copies them into the lambda.
-    last = F.least(F.size("_hashes"), F.size("_slots")) - window + 1
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(
-        F.xxhash64(F.slice("_hashes", i, window)).alias("h"), F.slice("_slots", i, window).alias("slots")))
-    whole = _tokens(df, key).select(*key, last.alias("n_windows"), F.when(last > 0, cut).alias("_cut"))
+    # Arrays are read by element: a slice would copy the whole array for every window. Both are
+    # named more than once, so that no optimizer copies their making into the lambda.
+    last = F.least(F.size("_hashes"), F.size("_slots")) - window
+    element = lambda name, i: [F.get(name, i + k) for k in range(window)]
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(
+        F.xxhash64(*element("_hashes", i)).alias("h"), F.array(*element("_slots", i)).alias("slots")))
+    whole = _tokens(df, key).select(
+        *key, (last + 1).alias("n_windows"), F.when(last >= 0, cut).alias("_cut"))
     # The outer form: for the inner one a filter is inferred that makes the windows once more.
     return whole.select(*key, "n_windows", F.posexplode_outer("_cut").alias("pos", "_w")).filter(
         "pos IS NOT NULL").select(
