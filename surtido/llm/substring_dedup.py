@@ -144,7 +144,8 @@ def _without(docs: pa.Table, words, gone: np.ndarray) -> pa.Table:
     kept = np.flatnonzero(~gone)
     owner = words.text
     start, end = words.start[kept], words.end[kept]
-    inner = np.r_[owner[kept][1:] == owner[kept][:-1], False]  # another kept word of the text follows
+    inner = np.zeros(len(kept), bool)  # whether another kept word of the text follows
+    inner[:-1] = owner[kept][1:] == owner[kept][:-1]
     data = words.data.copy()
     data[end[inner]] = 32
     steps = np.zeros(len(data) + 2, np.int8)
