@@ -93,7 +93,7 @@ def ngrams(hosts: pa.Array, paths: pa.Array, dimensions: int = DIMENSIONS) -> tu
 
     Either has its ends marked; a row's values have length 1.
     """
-    rows, keys = [], []
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for part, column in enumerate((hosts, paths)):
         data, offsets = string_buffers(column)
         n = len(offsets) - 1

@@ -20,11 +20,12 @@ def docs(spark):
 
 
 def prose(seed, words=60, vocabulary=400):
-    """Words of a fixed pseudo-random sequence."""
+    """Words of letters only, in a fixed pseudo-random sequence."""
     out, x = [], seed * 7919 + 17
     for _ in range(words):
         x = (x * 1103515245 + 12345) % (1 << 31)
-        out.append(f"w{x % vocabulary}")
+        n = x // 8 % vocabulary
+        out.append("".join("bdfgklmnprst"[n // 12**k % 12] + "aeiou"[n // 5**k % 5] for k in range(3)))
     return " ".join(out)
 
 
