@@ -9,6 +9,7 @@ from surtido.llm.columns import BLANKS, lower_ascii, others, text_of
 from surtido.session import materialize
 
 MIN_DOCUMENTS = 10
+SALTS = 16  # tasks that the lines of one key are dealt to, when common ones are looked up
 
 
 def line_key(line: Column) -> Column:
@@ -28,8 +29,9 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     """
     keyed = F.transform(_lines(text_of()), lambda x: line_key(x))
     hashed = F.transform(keyed, lambda k: F.when(k != "", F.xxhash64(k)))
+    # The outer form: for the inner one a filter is inferred that hashes all lines once more.
     return docs.select(
-        "doc_id", F.xxhash64("text").alias("body"), F.posexplode(hashed).alias("pos", "h"),
+        "doc_id", F.xxhash64("text").alias("body"), F.posexplode_outer(hashed).alias("pos", "h"),
     ).filter(F.col("h").isNotNull())
 
 
@@ -61,8 +63,11 @@ def dedup_lines(df: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     counted and joined from there.
     """
     hashes = materialize(line_hashes(df.select("doc_id", "text")), "line-hashes")
+    common = common_lines(hashes, min_documents).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dropped = (
-        hashes.join(common_lines(hashes, min_documents), "h", "left_semi")
+        hashes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "body"), F.lit(SALTS)).cast("int"))
+        .join(common, ["h", "salt"], "left_semi")
         .groupBy("doc_id", "body")
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
         .select(F.col("doc_id").alias("drop_id"), F.col("body").alias("drop_body"), "dropped"))
@@ -79,9 +84,6 @@ def dedup_lines(df: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
 
 
 def _without(lines: str, dropped: str) -> Column:
-    """The lines between dropped positions, joined in order; linear in the number of lines."""
-    edges = F.concat(F.array(F.lit(-1)), F.col(dropped), F.array(F.size(lines)))
-    runs = F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda i: F.slice(
-        lines, F.element_at(edges, i + 1) + 2,
-        F.element_at(edges, i + 2) - F.element_at(edges, i + 1) - 1))
-    return F.array_join(F.flatten(runs), "\n")
+    """The lines whose position is not dropped, joined in order; linear in the number of lines."""
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
