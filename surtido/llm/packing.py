@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,58 +21,70 @@ END_ID = 1
 MEMO_WORDS = 600_000  # words whose ids a worker remembers, about 120 MB
 TEXTS_AT_ONCE = 512
 
-SPACE = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ",.;:!?"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Encoder:
     """Token ids of texts, as little-endian 32-bit numbers, with a memory of words.
 
-    A single space between two characters that are no white space always begins a new
-    word of the byte-level pattern, so the ids of a text are the ids of its parts at such
-    spaces, end to end. Every distinct part is encoded once, by the tokenizer itself.
+    A single space or line feed between two characters that are no white space always
+    parts words of the byte-level pattern: a space goes to the word behind it, a line feed
+    is a word of its own. So the ids of a text are the ids of its parts, end to end. Every
+    distinct part is encoded once, by the tokenizer itself; a mark behind a letter is a
+    word of its own too, so ``word,`` and ``word.`` cost ``word`` once.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.memo_words = memo_words
-        self.first: dict[str, bytes | None] = {}  # parts that begin a text
+        self.first: dict[str, bytes | None] = {}  # parts that begin a line
         self.later: dict[str, bytes | None] = {}  # parts behind a space
+        self.line_feed, *marks = self._ids(["\n", *MARKS])
+        self.marks = dict(zip(MARKS, marks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > self.memo_words:
             self.first.clear()
             self.later.clear()
-        heads, tails = [], []
+        heads, tails, rows = [], [], []
         for text in texts:
-            head, *tail = text.split(" ")
-            heads.append(head)
-            tails.append(tail)
+            lines = [line.split(" ") for line in text.split("\n")]
+            for line in lines:
+                heads.append(line.pop(0))
+                tails.append(line)
+            rows.append(len(lines))
         self._learn(self.first, set(heads), "")
         self._learn(self.later, set(chain.from_iterable(tails)), " ")
-        out = []
-        for text, head, tail in zip(texts, heads, tails):
-            found = list(map(self.later.__getitem__, tail))
-            found.append(self.first[head])
-            if None in found:  # white space beside the split: the slower split is exact
-                out.append(self._slow(text))
-            else:
-                out.append(found.pop() + b"".join(found))
+        out, at = [], 0
+        later = self.later.__getitem__
+        for text, n in zip(texts, rows):
+            parts = []
+            for head, tail in zip(heads[at:at + n], tails[at:at + n]):
+                parts.append(self.first[head])
+                parts.extend(map(later, tail))
+                parts.append(self.line_feed)
+            at += n
+            parts.pop()
+            # None: white space beside a split, so the text is encoded as it is
+            out.append(self._ids([text])[0] if None in parts else b"".join(parts))
         return out
 
-    def _slow(self, text: str) -> bytes:
-        head, *tail = SPACE.split(text)
-        parts = self.tokenizer.encode_batch_fast([head, *(" " + x for x in tail)], add_special_tokens=False)
-        return b"".join(np.array(p.ids, "<u4").tobytes() for p in parts)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, memo: dict[str, bytes | None], words: set[str], before: str) -> None:
-        """Remember the ids of new parts; None for those that a single space does not set apart."""
+        """Remember the ids of new parts; None for those with white space at an end."""
         new = words.difference(memo)
         apart = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         memo.update(dict.fromkeys(new))
-        found = self.tokenizer.encode_batch_fast([before + w for w in apart], add_special_tokens=False)
-        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(apart, found))
+        marked = [w for w in apart if w[-1] in self.marks and w[:-1][-1:].isalpha()]
+        bare = {w[:-1] for w in marked}.difference(memo).union(apart).difference(marked)
+        bare = list(bare)
+        memo.update(zip(bare, self._ids([before + w for w in bare])))
+        memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
 
 _encoders: dict[tuple, Encoder] = {}
