@@ -71,8 +71,9 @@ TARGET_RANGES = {
     "DEFAULT": (1_500_000, 3_000_000, 30, 60),
 }
 
-# Seasonal factor of the daily target, in percent, January to December
-SEASON_PERCENT = (125, 120, 100, 95, 95, 120, 125, 95, 100, 120, 130, 150)
+# Seasonal factor of the daily target by month, in percent
+SEASON_PERCENT = {1: 125, 2: 120, 3: 100, 4: 95, 5: 95, 6: 120,
+                  7: 125, 8: 95, 9: 100, 10: 120, 11: 130, 12: 150}
 
 # Sunday share of the daily target, in percent
 SUNDAY_PERCENT = 70

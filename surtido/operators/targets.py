@@ -43,7 +43,7 @@ def target_calendar(stores: DataFrame, first: dt.date, last: dt.date,
     weekday = F.extract(F.lit("DAYOFWEEK_ISO"), F.col("fecha"))
     cop = lookup("fmt", {k: int(v[0]) for k, v in bases.items()}, int(bases["DEFAULT"][0]))
     und = lookup("fmt", {k: float(v[1]) for k, v in bases.items()}, float(bases["DEFAULT"][1]))
-    season = lookup(month, {i + 1: p for i, p in enumerate(SEASON_PERCENT)}, 100)
+    season = lookup(month, SEASON_PERCENT, 100)
     day_share = F.when(weekday == 7, F.lit(SUNDAY_PERCENT)).otherwise(F.lit(100))
     factor = season * day_share  # in 1/10,000
     days = F.when(month.isin(*LONG_MONTHS), F.lit(LONG_MONTH_DAYS)).otherwise(SHORT_MONTH_DAYS)

@@ -1,41 +1,48 @@
 """SQL equivalents of the registered queries, on the same Parquet tables.
 
 The base tables are common table expressions with the integer arithmetic of
-``surtido.sources.testdata``. Model results (k-means, trees, random scenarios,
-regressions) have no SQL here.
+``surtido.sources.testdata``. Model results (k-means, trees, regressions) have no SQL
+here, only what must hold for any of them.
 """
 
 from __future__ import annotations
 
-from surtido.functions.labels import (
-    ABC_LONG,
-    ABC_SHORT,
-    ANOMALY_IDLE,
-    ANOMALY_NONE,
-    ANOMALY_OTHER,
-    ANOMALY_OVERSTOCK,
-    ANOMALY_RISK,
-    ANOMALY_STOCKOUT,
-    EFFICIENCY_DEFAULT,
-    EFFICIENCY_LADDER,
-    HIGH_SEASON_MONTHS,
-    ORDER_NOW,
-    ORDER_SOON,
-    PROFIT_DEFAULT,
-    PROFIT_LADDER,
-    ROTATION_DEFAULT,
-    ROTATION_LADDER,
-    SEASON_PERCENT,
-    STOCK_OK,
-    SYMBOLS,
-    TARGET_RANGES,
-    TREND_DOWN,
-    TREND_FLAT,
-    TREND_NONE,
-    TREND_UP,
-    UNKNOWN,
-)
-from surtido.sources.testdata import TEST_TARGETS
+# Fixed values, written out here so that a wrong one in the operators is found
+ABC_LONG = ("A - Alta rotación", "B - Rotación media", "C - Baja rotación")
+ABC_SHORT = ("A", "B", "C")
+ANOMALY_IDLE = "🔵 Sin movimiento"
+ANOMALY_NONE = "Normal"
+ANOMALY_OTHER = "⚪ Anomalía general"
+ANOMALY_OVERSTOCK = "🟡 Sobrestock"
+ANOMALY_RISK = "🟠 Riesgo de quiebre"
+ANOMALY_STOCKOUT = "🔴 Quiebre de stock"
+EFFICIENCY_DEFAULT = "🔴 Baja eficiencia"
+EFFICIENCY_LADDER = ((70, "🟢 Alta eficiencia"), (45, "🟡 Eficiencia media"))
+HIGH_SEASON_MONTHS = (1, 2, 6, 7, 10, 11, 12)
+ORDER_NOW = "🔴 Pedir ahora"
+ORDER_SOON = "🟡 Pedir pronto"
+PROFIT_DEFAULT = "🔴 Baja rentabilidad"
+PROFIT_LADDER = ((70, "🟢 Alta rentabilidad"), (40, "🟡 Rentabilidad media"))
+ROTATION_DEFAULT = "❄️  Sin movimiento"
+ROTATION_LADDER = ((70, "🚀 Alta rotación"), (40, "🔄 Rotación media"), (15, "🐢 Rotación lenta"))
+SEASON_PERCENT = {1: 125, 2: 120, 3: 100, 4: 95, 5: 95, 6: 120,
+                  7: 125, 8: 95, 9: 100, 10: 120, 11: 130, 12: 150}
+STOCK_OK = "🟢 Stock OK"
+SYMBOLS = "🔴🟠🟡🔵⚪🟢🚀🔄🐢❄️"
+TARGET_RANGES = {
+    "GRANDE": (4_500_000, 7_000_000, 80, 150),
+    "MEDIANO": (2_500_000, 4_500_000, 45, 90),
+    "PEQUEÑO": (1_200_000, 2_500_000, 20, 50),
+    "EXPRESS": (800_000, 1_800_000, 15, 40),
+    "DEFAULT": (1_500_000, 3_000_000, 30, 60),
+}
+TREND_DOWN = "Bajando ↓"
+TREND_FLAT = "Estable →"
+TREND_NONE = "Sin datos"
+TREND_UP = "Mejorando ↑"
+UNKNOWN = "desconocido"
+TEST_TARGETS = {"GRANDE": 900_000, "MEDIANO": 600_000, "PEQUEÑO": 400_000, "EXPRESS": 300_000,
+                "DEFAULT": 500_000}
 
 ORACLE: dict[str, str] = {}
 
@@ -142,7 +149,7 @@ def daily(name: str, source: str, keys: str) -> str:
 
 BDAILY = daily("bdaily", "bsale", "sku_id, tienda_id")
 
-SEASON = choose("month(fecha)", {i + 1: p for i, p in enumerate(SEASON_PERCENT)}, 100)
+SEASON = choose("month(fecha)", SEASON_PERCENT, 100)
 SUNDAY = "(CASE WHEN isodow(fecha) = 7 THEN 70 ELSE 100 END)"
 
 
@@ -379,22 +386,27 @@ def store_week(calendar_year: bool) -> str:
       FROM bsale WHERE sku_id IN (SELECT sku_id FROM best) GROUP BY 1, 2, 3)"""
 
 
-RECEIPTS = """best AS (SELECT sku_id FROM bsale GROUP BY 1 ORDER BY count(*) DESC, sku_id LIMIT 25),
-br0 AS (SELECT DISTINCT receipt_id, sku_id FROM bsale WHERE sku_id IN (SELECT sku_id FROM best)),
-br AS (SELECT * FROM br0 WHERE receipt_id IN
-  (SELECT receipt_id FROM br0 GROUP BY 1 HAVING count(*) > 1)),
-nb AS (SELECT count(DISTINCT receipt_id)::DOUBLE AS n FROM br),
-one AS (SELECT sku_id AS a, count(*) AS f FROM br GROUP BY 1 HAVING count(*) >= 0.002 * (SELECT n FROM nb)),
+def item_baskets(key: str, support: str) -> str:
+    return f"""best AS (SELECT sku_id FROM bsale GROUP BY 1 ORDER BY count(*) DESC, sku_id LIMIT 25),
+br0 AS (SELECT DISTINCT {key} AS basket, sku_id FROM bsale WHERE sku_id IN (SELECT sku_id FROM best)),
+br AS (SELECT * FROM br0 WHERE basket IN
+  (SELECT basket FROM br0 GROUP BY 1 HAVING count(*) > 1)),
+nb AS (SELECT count(DISTINCT basket)::DOUBLE AS n FROM br),
+one AS (SELECT sku_id AS a, count(*) AS f FROM br GROUP BY 1 HAVING count(*) >= {support} * (SELECT n FROM nb)),
 two AS (SELECT x.sku_id AS a, y.sku_id AS b, count(*) AS f FROM br x JOIN br y
-  ON x.receipt_id = y.receipt_id AND x.sku_id < y.sku_id GROUP BY 1, 2
-  HAVING count(*) >= 0.002 * (SELECT n FROM nb))"""
+  ON x.basket = y.basket AND x.sku_id < y.sku_id GROUP BY 1, 2
+  HAVING count(*) >= {support} * (SELECT n FROM nb))"""
+
+RECEIPTS = item_baskets("receipt_id", "0.002")
 
 # Sets of up to three items; no set of four reaches this support at the checked scale.
-RULES = f"""{RECEIPTS},
+
+def rules(key: str, support: str) -> str:
+    return f"""{item_baskets(key, support)},
 three AS (SELECT x.sku_id AS a, y.sku_id AS b, z.sku_id AS c, count(*) AS f
-  FROM br x JOIN br y ON x.receipt_id = y.receipt_id AND x.sku_id < y.sku_id
-  JOIN br z ON x.receipt_id = z.receipt_id AND y.sku_id < z.sku_id GROUP BY 1, 2, 3
-  HAVING count(*) >= 0.002 * (SELECT n FROM nb)),
+  FROM br x JOIN br y ON x.basket = y.basket AND x.sku_id < y.sku_id
+  JOIN br z ON x.basket = z.basket AND y.sku_id < z.sku_id GROUP BY 1, 2, 3
+  HAVING count(*) >= {support} * (SELECT n FROM nb)),
 sets AS (SELECT a AS s, f FROM one UNION ALL SELECT a || ', ' || b, f FROM two),
 dirs AS (SELECT a AS l, b AS r, f FROM two UNION ALL SELECT b, a, f FROM two
   UNION ALL SELECT a, b || ', ' || c, f FROM three UNION ALL SELECT b || ', ' || c, a, f FROM three
@@ -407,6 +419,9 @@ rules AS (SELECT d.l AS sku_origen, d.r AS sku_destino, d.f / n AS soporte,
   FROM dirs d JOIN sets x ON x.s = d.l JOIN sets y ON y.s = d.r, nb
   WHERE d.f::DOUBLE / x.f >= 0.05)"""
 
+
+RULES = rules("receipt_id", "0.002")
+
 LOADED = "year(ts)"
 
 
@@ -613,6 +628,8 @@ add("compliance_alerts", COMPLIANCE, """SELECT tienda_id::BIGINT AS tienda_id, t
 # --- baskets ---------------------------------------------------------------------------
 add("basket_pairs", RECEIPTS, "SELECT a, b, f AS canastas FROM two")
 add("basket_rules", RULES, "SELECT * FROM rules", "soporte confianza lift")
+add("basket_week_rules", rules("(tienda_id, isoyear(dia), weekofyear(dia))", "0.001"),
+    "SELECT * FROM rules", "soporte confianza lift")
 add("basket_top_rules", RULES, "SELECT * FROM rules WHERE lift >= 1.0", "soporte confianza lift")
 
 # --- models: their inputs --------------------------------------------------------------
@@ -621,6 +638,47 @@ add("risk_stats", f"{BDAILY}, {STATS}", f"""SELECT sku_id, tienda_id, media,
   {clip("coalesce(std, 1.0)", 0.1)} AS std, registros,
   coalesce(site_qty, media * 5) AS stock_actual, coalesce(lead_time, 3)::BIGINT AS lead_time
   FROM stats LEFT JOIN binv USING (sku_id, tienda_id)""", "media std stock_actual")
+_TAIL = "0.319381530 -0.356563782 1.781477937 -1.821255978 1.330274429".split()
+
+
+def below(x: str) -> str:
+    """The standard normal distribution function (Abramowitz and Stegun 26.2.17)."""
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.2316419::DOUBLE * abs({x})))"
+    series = "0.0::DOUBLE"
+    for factor in reversed(_TAIL):
+        series = f"(({series} + ({factor})::DOUBLE) * {t})"
+    tail = f"(exp(-({x}) * ({x}) / 2.0::DOUBLE) / sqrt(2.0::DOUBLE * pi()) * {series})"
+    return f"(CASE WHEN {x} >= 0 THEN 1.0::DOUBLE - {tail} ELSE {tail} END)"
+
+
+RISK = f"""{BDAILY}, {STATS},
+r0 AS (SELECT sku_id, tienda_id, media, {clip("coalesce(std, 1.0)", 0.1)} AS std,
+  coalesce(site_qty, media * 5)::DOUBLE AS stock, coalesce(lead_time, 3)::BIGINT AS lead_time
+  FROM stats LEFT JOIN binv USING (sku_id, tienda_id)),
+r1 AS (SELECT *, media / std AS z FROM r0),
+r2 AS (SELECT *, {below("z")} AS b, exp(-z * z / 2.0::DOUBLE) / sqrt(2.0::DOUBLE * pi()) AS d FROM r1),
+r3 AS (SELECT *, media * b + std * d AS day, (media * media + std * std) * b + media * std * d AS sq FROM r2),
+r4 AS (SELECT *, day * 30 AS mean, sqrt(greatest(sq - day * day, 0.0::DOUBLE) * 30) AS spread FROM r3),
+r5 AS (SELECT *, (stock - mean) / nullif(spread, 0) AS gap FROM r4),
+r6 AS (SELECT *, coalesce(1.0::DOUBLE - {below("gap")},
+  CASE WHEN stock < mean THEN 1.0 ELSE 0.0 END)::DOUBLE * 100 AS prob FROM r5),
+risk AS (SELECT sku_id, tienda_id, {rnd("stock", 2)} AS stock_actual, lead_time,
+  {rnd("media", 2)} AS demanda_media_diaria,
+  {rnd("greatest(mean, 0.0)", 2)} AS demanda_p50,
+  {rnd("greatest(mean + 1.2815515655::DOUBLE * spread, 0.0)", 2)} AS demanda_p90,
+  {rnd("greatest(mean + 1.6448536270::DOUBLE * spread, 0.0)", 2)} AS demanda_p95,
+  {rnd("greatest(mean + 2.3263478740::DOUBLE * spread, 0.0)", 2)} AS demanda_p99,
+  {rnd("prob", 2)} AS prob_quiebre,
+  {rnd("greatest(mean + 1.6448536270::DOUBLE * spread, 0.0)", 2)} AS stock_recomendado,
+  {rnd(div("stock", "media", "999.0"), 1)} AS dias_cobertura,
+  CASE WHEN prob >= 70 THEN '🔴 Riesgo alto' WHEN prob >= 40 THEN '🟡 Riesgo medio'
+    WHEN prob >= 15 THEN '🟠 Riesgo bajo-medio' ELSE '🟢 Riesgo bajo' END AS nivel_riesgo,
+  30::BIGINT AS dias_simulacion FROM r6)"""
+add("stockout_risk", RISK, "SELECT * FROM risk")
+add("risk_levels", RISK, f"""SELECT trim(regexp_replace(nivel_riesgo, '[{SYMBOLS}]', '', 'g')) AS etiqueta,
+  count(*) AS cantidad FROM risk GROUP BY 1""")
+add("risk_page", RISK, """SELECT sku_id, tienda_id, prob_quiebre FROM risk
+  ORDER BY prob_quiebre DESC, sku_id, tienda_id LIMIT 50""")
 add("predict_features", BDAILY, f"""SELECT sku_id, tienda_id, fecha::VARCHAR AS fecha, cantidad,
   precio_promedio, clima, zona, coalesce(formato, '{UNKNOWN}') AS formato, ciudad,
   lead_time::BIGINT AS lead_time, categoria, marca, temporada, talla, '{UNKNOWN}' AS tipo_linea,
@@ -630,6 +688,22 @@ add("predict_features", BDAILY, f"""SELECT sku_id, tienda_id, fecha::VARCHAR AS
   {rnd("(price - cost) / nullif(price, 0)", 4)} AS margen
   FROM bdaily LEFT JOIN st USING (tienda_id) LEFT JOIN bcat USING (sku_id)""", "precio_promedio")
 
+# --- models: what must hold for any fit ---------------------------------------------------
+add("forecast_check", daily("d1", "bsale", "sku_id"), """SELECT (30 * count(*))::BIGINT AS filas,
+  count(*) AS skus, true AS minima_debajo, true AS maxima_encima, true AS sin_negativos
+  FROM (SELECT sku_id FROM d1 GROUP BY 1 HAVING count(*) >= 2)""")
+add("without_forecast", daily("d1", "sale", "sku_id"), """SELECT sku_id, count(*) AS dias,
+  'menos de dos días con venta' AS motivo FROM d1 GROUP BY 1 HAVING count(*) < 2""")
+add("anomalies_check", "", """SELECT count(*) AS filas, count(DISTINCT (sku_id, tienda_id)) AS pares,
+  true AS hasta_un_decimo, true AS alguna, true AS con_nombre, true AS en_rango FROM inv""")
+add("predict_check", "", """SELECT count(DISTINCT (sku_id, tienda_id, dia)) AS filas,
+  count(DISTINCT (sku_id, tienda_id, dia)) AS claves,
+  sum(5 + 4 * month(dia) + 3 * (isodow(dia) - 1))::DOUBLE AS cantidad_real,
+  true AS sin_negativos, true AS mejor_que_la_media FROM bsale""")
+add("store_segments_check", STORE_ROLLUP, """SELECT count(*)::BIGINT AS tiendas, true AS varios,
+  true AS en_orden FROM srol""")
+add("eoq_of_sku", EOQ, "SELECT sku_id, tienda_id, eoq FROM eoqr WHERE sku_id = '17'")
+
 # --- loads and streams -----------------------------------------------------------------
 add("incremental_load", "", f"""SELECT type, {LOADED}::BIGINT AS anio, count(*) AS filas,
   sum(quantity)::DOUBLE AS unidades FROM tx GROUP BY 1, 2""")

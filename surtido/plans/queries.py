@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surtido.functions.exprs import classify, clip, guarded_div, high_season, rnd
@@ -518,10 +518,21 @@ def store_segments_simple(spark, d):
     return seg.store_segmentation_simple(td.transactions(spark, d))
 
 
+@query
+def store_segments_check(spark, d):
+    """What must hold for any clusters: every store once, names in order of mean sales."""
+    found = seg.store_segmentation(td.transactions(spark, d), td.inventory(spark, d), td.stores(spark, d))
+    means = found.groupBy("segmento_tienda").agg(
+        F.avg("ventas_totales").alias("media"), F.count("*").alias("n"))
+    order = Window.orderBy("segmento_tienda")  # as many rows as clusters
+    return means.select("n", (F.col("media") <= F.lag("media", 1, float("inf")).over(order)).alias("ok")).agg(
+        F.sum("n").alias("tiendas"), (F.count("*") >= 2).alias("varios"), F.bool_and("ok").alias("en_orden"))
+
+
 @query
 def store_segment_summary(spark, d):
     return seg.segment_summary(seg.store_segmentation(
-        td.transactions(spark, d), td.inventory(spark, d), td.stores(spark, d), k=3, restarts=4))
+        td.transactions(spark, d), td.inventory(spark, d), td.stores(spark, d)))
 
 
 @query
@@ -598,7 +609,7 @@ def compliance_anomalies(spark, d):
 
 @query
 def basket_pairs(spark, d):
-    found, _ = bsk.frequent_itemsets(
+    found, *_ = bsk.frequent_itemsets(
         bsk.baskets(td.transactions(spark, d, "brand"), by="receipt"), (0.002,))
     return bsk.item_pairs(found)
 
@@ -608,6 +619,11 @@ def basket_rules(spark, d):
     return bsk.basket_rules(td.transactions(spark, d, "brand"), **RECEIPT_RULES)
 
 
+@query
+def basket_week_rules(spark, d):
+    return bsk.basket_rules(td.transactions(spark, d, "brand"), supports=(0.001,), min_conf=0.05)
+
+
 @query
 def basket_top_rules(spark, d):
     rules = bsk.basket_rules(td.transactions(spark, d, "brand"), **RECEIPT_RULES)
@@ -628,6 +644,18 @@ def anomalies(spark, d):
         "score_anomalia")
 
 
+@query
+def anomalies_check(spark, d):
+    """What must hold for any forest: one row a stock row, the share flagged, names of flags."""
+    found = anm.inventory_anomalies(td.inventory(spark, d), td.transactions(spark, d))
+    return found.agg(
+        F.count("*").alias("filas"), F.count_distinct("sku_id", "tienda_id").alias("pares"),
+        (F.count_if("es_anomalia") * 10 <= F.count("*") + 10).alias("hasta_un_decimo"),  # and one row
+        (F.count_if("es_anomalia") > 0).alias("alguna"),
+        F.bool_and(F.col("es_anomalia") == (F.col("tipo_anomalia") != "Normal")).alias("con_nombre"),
+        F.bool_and(F.col("score_anomalia").between(-1.0, 0.0)).alias("en_rango"))
+
+
 @query
 def anomaly_types(spark, d):
     return reports.anomaly_groups(
@@ -650,6 +678,12 @@ def risk_levels(spark, d):
     return reports.class_groups(found, "nivel_riesgo", "Desconocido")
 
 
+@query
+def risk_page(spark, d):
+    found = rsk.stockout_risk(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
+    return reports.get_risk(found).limit(50).select("sku_id", "tienda_id", "prob_quiebre")
+
+
 @query
 def forecast(spark, d):
     return fct.forecast_demand(td.transactions(spark, d, "brand"))
@@ -668,7 +702,25 @@ def forecast_totals(spark, d):
 
 @query
 def forecast_wide(spark, d):
-    return reports.forecast_wide(fct.forecast_demand(td.transactions(spark, d, "brand")))
+    tx = td.transactions(spark, d, "brand")
+    known = (agg.daily_series(tx, ("sku_id",)).groupBy("sku_id").count().where("count >= 2")
+             .orderBy("sku_id").limit(5))
+    return reports.forecast_wide(fct.forecast_demand(tx), [r["sku_id"] for r in known.collect()])
+
+
+@query
+def without_forecast(spark, d):
+    return fct.without_forecast(td.transactions(spark, d))
+
+
+@query
+def forecast_check(spark, d):
+    """What must hold for any forecast: days, order of the bounds, floor."""
+    return fct.forecast_demand(td.transactions(spark, d, "brand")).agg(
+        F.count("*").alias("filas"), F.count_distinct("sku_id").alias("skus"),
+        F.bool_and(F.col("demanda_minima") <= F.col("demanda_estimada")).alias("minima_debajo"),
+        F.bool_and(F.col("demanda_estimada") <= F.col("demanda_maxima")).alias("maxima_encima"),
+        (F.min("demanda_minima") >= 0).alias("sin_negativos"))
 
 
 def _prediction_inputs(spark, d):
@@ -682,17 +734,37 @@ def predict_features(spark, d):
 
 @query
 def predict(spark, d):
-    return prd.predict_demand(*_prediction_inputs(spark, d), max_iter=20)[0]
+    return prd.predict_demand(*_prediction_inputs(spark, d))[0]
 
 
 @query
 def predict_metrics(spark, d):
-    return prd.prediction_error(prd.predict_demand(*_prediction_inputs(spark, d), max_iter=20)[0])
+    return prd.prediction_error(prd.predict_demand(*_prediction_inputs(spark, d))[0])
+
+
+@query
+def predict_check(spark, d):
+    """The model on demand that depends on the calendar: keys, sums, floor, and a holdout error
+    far below that of the mean."""
+    tx, stores, catalog = _prediction_inputs(spark, d)
+    day = F.col("transaction_date")
+    signal = (5 + 4 * F.month(day) + 3 * F.weekday(day)).cast("decimal(12,2)")
+    rows, model = prd.predict_demand(tx.withColumn("quantity", signal), stores, catalog)
+    return rows.agg(
+        F.count("*").alias("filas"), F.count_distinct("sku_id", "tienda_id", "fecha").alias("claves"),
+        F.sum("cantidad_real").alias("cantidad_real"),
+        (F.min("cantidad_predicha") >= 0).alias("sin_negativos"),
+        (F.lit(model.rmse) < 0.5 * F.stddev("cantidad_real")).alias("mejor_que_la_media"))
+
+
+@query
+def eoq_of_sku(spark, d):
+    return reports.get_eoq(_eoq(spark, d), sku="17").select("sku_id", "tienda_id", "eoq")
 
 
 @query
 def feature_importance(spark, d):
-    _, model = prd.predict_demand(*_prediction_inputs(spark, d), max_iter=20)
+    _, model = prd.predict_demand(*_prediction_inputs(spark, d))
     return prd.feature_importance(model, spark)
 
 
@@ -775,9 +847,7 @@ def result_store(spark, d):
 def run_all_models(spark, d):
     base = Tables(td.transactions(spark, d, "brand"), td.catalog(spark, d, "brand"),
                   td.stores(spark, d), td.inventory(spark, d, "brand"))
-    status = run_all(spark, base, new_path(spark, "resultados"),
-                     options={"predicciones_lgbm": {"max_iter": 5},
-                              "segmentacion_tiendas": {"restarts": 2}})
+    status = run_all(spark, base, new_path(spark, "resultados"))
     return status.select("model", "status", "records_saved")
 
 

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from surtido.operators import reports
 from surtido.operators.prediction import prediction_error
+from surtido.sources.tables import where_equal
 
 
 @dataclass
 class Page:
-    """The rows of a request, and one row of totals over them."""
+    """The rows of a request, and one row of totals over all that it matches.
+
+    Only the two means of a page (margin, efficiency) are those of the rows shown.
+    """
     rows: DataFrame
     totals: DataFrame
 
@@ -38,12 +42,14 @@ class StoredResults:
 
     def predictions(self, sku: str | None = None, store: str | None = None,
                     limit: int = reports.PAGE) -> Page:
-        rows = reports.get_predictions(self.table("predicciones_lgbm"), sku, store, limit)
-        return Page(rows, prediction_error(rows))
+        stored = self.table("predicciones_lgbm")
+        rows = reports.get_predictions(stored, sku, store, limit)
+        return Page(rows, prediction_error(where_equal(stored, sku_id=sku, tienda_id=store)))
 
     def anomalies(self, tipo: str | None = None, limit: int = reports.PAGE) -> Page:
-        rows = reports.get_anomalies(self.table("anomalias_inventario"), tipo, limit)
-        return Page(rows, reports.critical_count(rows))
+        stored = self.table("anomalias_inventario")
+        rows = reports.get_anomalies(stored, tipo, limit)
+        return Page(rows, reports.critical_count(where_equal(stored, tipo_anomalia=tipo)))
 
     def eoq(self, sku: str | None = None, store: str | None = None) -> Page:
         rows = reports.get_eoq(self.table("eoq_resultados"), sku, store)

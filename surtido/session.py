@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+INITIAL_PARTITIONS = 4096  # of a shuffle on a cluster; AQE merges what is small, it never adds
+
 _local_roots: dict[str, str] = {}
 
 
@@ -24,6 +26,8 @@ def build_session(app_name: str = "surtido", master: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                str(shuffle_partitions or INITIAL_PARTITIONS))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

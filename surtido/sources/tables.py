@@ -100,12 +100,15 @@ def by_key(table: DataFrame, key: str) -> DataFrame:
 
 
 def numeric_store(tx: DataFrame) -> DataFrame:
-    """Rows whose store key is all digits, with ``tienda_id`` as an integer.
+    """Rows whose store key is all digits, with ``tienda_id`` as a 64-bit integer.
 
-    ``try_cast`` because an ANSI cast may be evaluated before the filter.
+    A number too large for that is an error, never a NULL key that would merge stores.
+    The cast stands behind its own guard, because an ANSI cast may be evaluated before
+    the filter.
     """
     store = F.col("target_location_id")
-    return tx.where(store.rlike("^[0-9]+$")).withColumn("tienda_id", store.try_cast("int"))
+    digits = store.rlike("^[0-9]+$")
+    return tx.where(digits).withColumn("tienda_id", F.when(digits, store.cast("bigint")))
 
 
 def where_equal(df: DataFrame, **filters) -> DataFrame:

@@ -180,11 +180,39 @@ def test_stream_daily_sales_and_late_rows(spark, frames, tmp_path):
     assert rows == {**first, (1, 9): 6.0, (1, 10): 4.0}
 
 
+def test_store_keys_beyond_32_bits_stay_apart(frames):
+    tx = frames.tx([("a", key, 1, 10, "venta", "2024-01-01")
+                    for key in ("99999999999", "88888888888", "7", "W1")])
+    rows = by(aggregates.daily_by_store(tx), "tienda_id")
+    assert set(rows) == {99999999999, 88888888888, 7}
+    with pytest.raises(Exception, match="CAST|OVERFLOW|overflow"):
+        tables.numeric_store(frames.tx([("a", "9" * 25, 1, 10, "venta", "2024-01-01")])).collect()
+
+
+def test_a_failed_refresh_keeps_the_last_result(spark, tmp_path):
+    path = str(tmp_path / "result")
+    assert sinks.save_result(spark.range(3), path) == 3
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no"):
+        sinks.save_result(broken.toDF("id"), path)
+    assert spark.read.parquet(path).count() == 3
+    assert sinks.save_result(spark.read.parquet(path).where("id > 0"), path) == 2  # reads what it replaces
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_the_lowest_of_new_rows_with_one_key_is_inserted(spark):
+    new = spark.createDataFrame([(1, 5, "b"), (1, 3, "z"), (2, 9, "a")], "id int, n int, s string")
+    stored = spark.createDataFrame([(2,)], "id int")
+    assert [tuple(r) for r in sinks.insert_missing(stored, new, ["id"]).collect()] == [(1, 3, "z")]
+
+
 def test_run_all_isolates_errors(spark, tmp_path):
     base = Tables(td.transactions(spark, SF), td.catalog(spark, SF), td.stores(spark, SF),
                   td.inventory(spark, SF).drop("min_stock"))
     jobs = ["rentabilidad_sku", "rotacion_sku", "segmentacion_skus"]
-    rows = by(run_all(spark, base, str(tmp_path), jobs), "model")
+    with pytest.raises(RuntimeError, match="rotacion_sku"):
+        run_all(spark, base, str(tmp_path), jobs)
+    rows = by(run_all(spark, base, str(tmp_path), jobs, strict=False), "model")
     assert [rows[j].status for j in jobs] == ["success", "error", "success"]
     stored = spark.read.parquet(f"{tmp_path}/segmentacion_skus")
     assert stored.columns == schemas.RESULT_COLUMNS["segmentacion_skus"]
