@@ -48,7 +48,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaks_by_document(docs, _table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "contaminated", "n_items", "item_ids", "best_share")
+        "doc_id", "contaminated", "n_items", F.array_join("item_ids", ",").alias("item_ids"), "best_share")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

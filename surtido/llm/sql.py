@@ -19,6 +19,62 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE drops) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+# Units that are placeholders behind a number
+_UNITS = """
+mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres
+kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound
+pounds ounce ounces ton tons tonne tonnes ml cl l liter liters litre litres gallon gallons s sec
+second seconds min minute minutes h hr hour hours day days week weeks month months year years
+usd eur gbp dollar dollars euro euros cent cents percent degree degrees w kw v a hz kb mb gb"""
+
+OP4 = r"""
+WITH texts AS (
+  SELECT 'doc' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'item', item_id, coalesce(text, '') FROM benchmark WHERE item_id IS NOT NULL),
+found AS (
+  SELECT kind, id, regexp_extract_all(text,
+    '(?:[.!?\n][^\p{L}0-9]*)?(?:[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}]*)') AS f FROM texts),
+bare AS (
+  SELECT *, list_transform(f, lambda x: regexp_extract(x, '[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}]*')) AS t
+  FROM found),
+typed AS (
+  SELECT *, list_transform(t, lambda x, i: CASE
+      WHEN regexp_matches(x, '^[0-9]') THEN '<number>'
+      WHEN i > 1 AND regexp_matches(t[i - 1], '^[0-9]') AND list_contains(string_split(trim(regexp_replace(
+        '""" + _UNITS.strip().replace("\n", " ") + r"""', '\s+', ' ', 'g')), ' '), lower(x)) THEN '<unit>'
+      WHEN lower(x) = x THEN x
+      WHEN i > 1 AND NOT regexp_matches(f[i], '^[.!?\n]') AND regexp_full_match(x, '\p{Lu}[\p{Ll}\p{M}]+') THEN '<name>'
+      ELSE lower(x) END) AS p
+  FROM bare),
+cut AS (
+  SELECT kind, id, t, p, unnest(range(1, greatest(len(t) - 6, 1))) AS pos FROM typed),
+grams AS (
+  SELECT kind, id, pos, array_to_string(p[pos:pos + 7], ' ') AS gram,
+    list_transform(range(pos, pos + 8), lambda k: CASE WHEN p[k][1] = '<' THEN t[k] END) AS slots FROM cut),
+items AS (
+  SELECT id AS item_id, pos AS at_pos, gram, slots AS asked, count(*) OVER (PARTITION BY id) AS n
+  FROM grams WHERE kind = 'item' AND len(list_filter(slots, lambda v: v IS NULL)) >= 4),
+met AS (
+  SELECT g.id AS doc_id, item_id, n, at_pos, g.pos - at_pos AS shift, asked, slots
+  FROM grams g JOIN items USING (gram) WHERE g.kind = 'doc'),
+pairs AS (
+  SELECT DISTINCT doc_id, item_id, shift, unnest(asked) AS a, unnest(slots) AS s FROM met),
+conflicts AS (
+  SELECT doc_id, item_id, shift, count(*) AS n_pairs, count(DISTINCT a) AS n_values
+  FROM pairs WHERE a IS NOT NULL GROUP BY ALL),
+shares AS (
+  SELECT doc_id, item_id, count(DISTINCT at_pos) / any_value(n) AS share
+  FROM met LEFT JOIN conflicts USING (doc_id, item_id, shift)
+  WHERE coalesce(n_pairs - n_values <= 0.5 * n_values, true)
+  GROUP BY doc_id, item_id HAVING share >= 0.4),
+leaks AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids, max(share) AS best_share
+  FROM shares GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(item_ids, '') AS item_ids, coalesce(best_share, 0.0)::DOUBLE AS best_share
+FROM documents LEFT JOIN leaks USING (doc_id)
+"""
+
 OP8 = r"""
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -65,6 +121,7 @@ FROM split_words LEFT JOIN kept USING (doc_id)
 
 ORACLE = {
     "op1_line_dedup": OP1,
+    "op4_benchmark_decontamination": OP4,
     "op8_sharding": OP8,
     "op9_substring_dedup": OP9,
 }
