@@ -1,5 +1,6 @@
-"""Shared aggregations. Every one is a hash aggregate with map-side partial
-aggregation, so a hot key reaches the shuffle as one row per task."""
+"""Shared aggregations. Every one combines on the map side, so a hot key reaches the
+shuffle as one row per task. All but ``first_inventory``, whose minimum over a struct
+sorts, are hash aggregates."""
 
 from __future__ import annotations
 
@@ -83,6 +84,18 @@ def series_stats(daily: DataFrame, min_records: int = 5) -> DataFrame:
             .where(F.col("registros") >= min_records))
 
 
+def percentiles(daily: DataFrame, shares: dict[str, float], key: str = "sku_id",
+                value: str = "cantidad") -> DataFrame:
+    """Exact percentiles of a value per key, interpolated; one column per name in ``shares``.
+
+    Values are counted first, so a group holds one entry per distinct value.
+    """
+    counted = daily.groupBy(key, value).agg(F.count("*").alias("n"))
+    found = F.percentile(value, F.array(*[F.lit(x) for x in shares.values()]), F.col("n"))
+    return (counted.groupBy(key).agg(found.alias("p"))
+            .select(key, *[F.col("p")[i].alias(name) for i, name in enumerate(shares)]))
+
+
 def sku_rollup(tx: DataFrame) -> DataFrame:
     """Pairs rolled up to SKUs: sums, and means of the pair means."""
     return (pair_sales(tx).groupBy("sku_id")

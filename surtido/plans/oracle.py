@@ -576,7 +576,7 @@ add("segment_a", ABC_API, "SELECT * EXCLUDE (cantidad_total) FROM abc WHERE segm
 
 # --- analytics -------------------------------------------------------------------------
 add("eoq", EOQ, "SELECT * FROM eoqr", "demanda_diaria_prom")
-add("profitability", PROFIT, "SELECT * FROM profit", "precio_venta_prom margen_unitario")
+add("profitability", PROFIT, "SELECT *, NULL::VARCHAR AS departamento FROM profit", "precio_venta_prom margen_unitario")
 add("rotation", ROTATION, "SELECT * FROM rot", "venta_diaria_prom")
 add("rotation_classes", ROTATION, f"""SELECT
   trim(regexp_replace(clasificacion_rotacion, '[{SYMBOLS}]', '', 'g')) AS etiqueta,

@@ -296,13 +296,8 @@ def inventory_by_store(spark, d):
 
 @query
 def percentiles(spark, d):
-    # Counted per value first, so each group keeps one entry per distinct quantity.
     daily = agg.daily_series(td.transactions(spark, d, "brand"))
-    counted = daily.groupBy("sku_id", "cantidad").agg(F.count("*").alias("n"))
-    p = F.percentile("cantidad", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]), F.col("n"))
-    return (counted.groupBy("sku_id").agg(p.alias("p"))
-            .select("sku_id", *[F.col("p")[i].alias(n) for i, n in
-                                enumerate(("p50", "p90", "p95", "p99"))]))
+    return agg.percentiles(daily, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 @query
@@ -455,7 +450,7 @@ def eoq(spark, d):
 @query
 def profitability(spark, d):
     return _profitability(spark, d).select(
-        "sku_id", "tienda_id", "categoria", "marca", "talla", "temporada", "unidades_vendidas",
+        "sku_id", "tienda_id", "categoria", "marca", "departamento", "talla", "temporada", "unidades_vendidas",
         "precio_venta_prom", "precio_lista", "costo_total", "ingreso_total", "rentabilidad_total",
         "margen_unitario", "margen_porcentual", "descuento_aplicado", "indice_rentabilidad",
         "clasificacion")
