@@ -15,11 +15,10 @@ from surtido.llm.columns import others, text_of
 
 # The roles of tags
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title "
-                "audio video select noframes noembed xmp".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button head figcaption label "
-                    "fieldset option".split())
-BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figure h1 h2 "
+RAW = frozenset("script style noscript template iframe object svg canvas textarea title "
+                "audio video select noframes noembed".split())
+DROPPED = frozenset("nav header footer aside form menu dialog button head label fieldset option".split())
+BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 "
                    "h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead "
                    "tr ul".split()) | DROPPED
 PARAGRAPHS = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt".split())

@@ -165,6 +165,12 @@ def test_article_is_kept_and_the_rest_goes(name):
     assert main_text(PAGES[name]) == WANT
 
 
+def test_captions_and_formulas_are_part_of_an_article():
+    page = (f"<article><p>{ARTICLE[0]}</p><figure><img src=x><figcaption>A caption</figcaption></figure>"
+            "<p>Area <math><mi>a</mi></math> of it, and so on, with some more words.</p></article>")
+    assert main_text(page).split("\n")[1:] == ["A caption", "Area a of it, and so on, with some more words."]
+
+
 def test_link_lists_lose_to_text():
     links = "".join(f"<p><a href='/{i}'>A linked headline, with commas, of some length {i}</a></p>" for i in range(30))
     assert main_text(f"<div><div>{links}</div><div><p>{ARTICLE[0]}</p></div></div>") == WANT.split("\n")[1]
