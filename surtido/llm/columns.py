@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXTS_IN_A_BATCH = 1000  # rows sent to a Python worker at once
+
 # The white space that trims lines and parts words, and its class in a pattern
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,3 +29,13 @@ def lower_ascii(c: Column) -> Column:
 def others(df: DataFrame, *made: str) -> list[Column]:
     """The columns of ``df`` but those that the operator makes anew."""
     return [F.col(f"`{c}`") for c in df.columns if c not in made]
+
+
+def small_batches(spark: SparkSession, rows: int = TEXTS_IN_A_BATCH) -> None:
+    """Send texts to Python workers in small batches: both sides hold a batch, and texts are long.
+
+    The session's setting of 10,000 rows is meant for numbers; a smaller one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

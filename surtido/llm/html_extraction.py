@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surtido.llm.columns import others, text_of
+from surtido.llm.columns import others, small_batches, text_of
 
 # The roles of tags
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,6 +285,7 @@ def extract(df: DataFrame) -> DataFrame:
     ``n_chars`` are replaced. One page is handled at a time, by loops, not recursion, so
     depth is no limit. One pass without a shuffle.
     """
+    small_batches(df.sparkSession)
     rest = df.select(*others(df, "text", "n_chars"))
     names = rest.columns
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from surtido.llm.columns import text_of
+from surtido.llm.columns import small_batches, text_of
 from surtido.session import default_parallelism, materialize
 
 LENGTH = 2048
 END_ID = 1
-MEMO_WORDS = 600_000  # words whose ids a worker remembers, about 120 MB
+MEMO_WORDS = 400_000  # words whose ids a worker remembers, about 80 MB
 TEXTS_AT_ONCE = 512
 
 MARKS = ",.;:!?"
+APART = b""  # no ids: white space beside a split, so the text is encoded as it is
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,66 +40,77 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.memo_words = memo_words
-        self.first: dict[str, bytes | None] = {}  # parts that begin a line
-        self.later: dict[str, bytes | None] = {}  # parts behind a space
+        self.first: dict[str, bytes] = {}  # parts that begin a line
+        self.later: dict[str, bytes] = {}  # parts behind a space
         self.line_feed, *marks = self._ids(["\n", *MARKS])
         self.marks = dict(zip(MARKS, marks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.memo_words:
-            self.first.clear()
-            self.later.clear()
-        heads, tails, rows = [], [], []
+        heads, words, ends, lines = [], [], [], []  # of lines, of all, behind each line, of texts
         for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                heads.append(line.pop(0))
-                tails.append(line)
-            rows.append(len(lines))
-        self._learn(self.first, set(heads), "")
-        self._learn(self.later, set(chain.from_iterable(tails)), " ")
-        out, at = [], 0
-        later = self.later.__getitem__
-        for text, n in zip(texts, rows):
+            split = text.split("\n")
+            lines.append(len(split))
+            for line in split:
+                parts = line.split(" ")
+                heads.append(parts.pop(0))
+                words += parts
+                ends.append(len(words))
+        first, later = self._known(self.first, heads, ""), self._known(self.later, words, " ")
+        out, line, at = [], 0, 0
+        for text, n in zip(texts, lines):
             parts = []
-            for head, tail in zip(heads[at:at + n], tails[at:at + n]):
-                parts.append(self.first[head])
-                parts.extend(map(later, tail))
+            for line in range(line, line + n):
+                parts.append(first[line])
+                parts += later[at:ends[line]]
                 parts.append(self.line_feed)
-            at += n
+                at = ends[line]
+            line += 1
             parts.pop()
-            # None: white space beside a split, so the text is encoded as it is
-            out.append(self._ids([text])[0] if None in parts else b"".join(parts))
+            out.append(self._ids([text])[0] if APART in parts else b"".join(parts))
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, memo: dict[str, bytes | None], words: set[str], before: str) -> None:
-        """Remember the ids of new parts; None for those with white space at an end."""
-        new = words.difference(memo)
-        apart = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        memo.update(dict.fromkeys(new))
-        marked = [w for w in apart if w[-1] in self.marks and w[:-1][-1:].isalpha()]
-        bare = {w[:-1] for w in marked}.difference(memo).union(apart).difference(marked)
-        bare = list(bare)
-        memo.update(zip(bare, self._ids([before + w for w in bare])))
-        memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _known(self, memo: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
+        """The ids of each part. New parts are remembered while there is room: those that come
+        first are the frequent ones, so a full memo keeps them and learns the rest for the call."""
+        found = list(map(memo.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        learnt = self._learn(memo, {words[i] for i in gaps}, before)
+        for i in gaps:
+            found[i] = learnt[words[i]]
+        if len(memo) < self.memo_words:
+            memo.update(learnt)
+        return found
+
+    def _learn(self, memo: dict[str, bytes], new: set[str], before: str) -> dict[str, bytes]:
+        """The ids of new parts; ``APART`` for those with white space at an end."""
+        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        marked = [w for w in safe if w[-1] in self.marks and w[:-1][-1:].isalpha()]
+        bare = list({w[:-1] for w in marked}.difference(memo).union(safe).difference(marked))
+        learnt = dict.fromkeys(new, APART)
+        learnt.update(zip(bare, self._ids([before + w for w in bare])))
+        for w in marked:
+            ids = learnt.get(w[:-1]) or memo[w[:-1]]
+            learnt[w] = ids + self.marks[w[-1]]
+        return learnt
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, memo_words: int) -> Encoder:
     """One encoder a worker: its memory serves later batches and tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, memo_words
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, memo_words)
+    return _encoders[key]
 
 
 def token_pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): documents cut every ``length`` ids.
 
     A document's ids are those of its whole text (null: none) and ``end_id``.
@@ -108,7 +120,7 @@ def token_pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, memo_words)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(at, TEXTS_AT_ONCE)
@@ -128,6 +140,7 @@ def token_pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: in
 
     schema = PIECE + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
+    small_batches(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return docs.mapInArrow(cut, schema)
 
@@ -209,7 +222,7 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece.
 
     Every document is tokenized whole, closed by ``end_id`` and cut every ``length`` ids;
@@ -217,9 +230,9 @@ def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_
     Null or empty text: the one id ``end_id``. Repeated rows are packed as often as they
     come. Null ``doc_id``: packed like any other. Empty table: empty. Extra columns are
     ignored. Runs one job when called; the pieces are written once (the ids only
-    ``with_ids``).
+    ``with_ids``). ``memo_words`` trades memory of the workers for time; results do not change.
     """
-    return pack_pieces(token_pieces(df, tokenizer, length, end_id, with_ids), length)
+    return pack_pieces(token_pieces(df, tokenizer, length, end_id, with_ids, memo_words), length)
 
 
 def sequence_rows(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

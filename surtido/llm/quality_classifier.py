@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surtido.llm.columns import others, text_of
+from surtido.llm.columns import others, small_batches, text_of
 from surtido.llm.wordspans import (
     Words, chunks, find_words, mix, span_hashes, string_buffers, windows, word_hashes,
 )
@@ -153,6 +153,7 @@ def classify(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row
     empty. Other columns stay; input columns with the names of the made ones are replaced.
     Runs one job when called.
     """
+    small_batches(df.sparkSession)
     weights = df.sparkSession.sparkContext.broadcast(fit(df, labels, rows, dimensions, epochs))
     rest = df.select(*others(df, "held_out", "score", "predicted"))
     names = rest.columns

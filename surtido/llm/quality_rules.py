@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surtido.llm.columns import others, text_of
+from surtido.llm.columns import others, small_batches, text_of
 from surtido.llm.wordspans import (
     Words, chunks, covered, find_words, mix, span_hashes, string_buffers, sums_by_text, windows,
     word_hashes,
@@ -147,6 +147,7 @@ def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bucket
     columns with the names of the made ones are replaced. Runs one job when called.
     """
     spark = df.sparkSession
+    small_batches(spark)
     ratios = spark.sparkContext.broadcast(log_ratios(df, labels, buckets, pseudo_count, target_rows))
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
     rows = df.select(*others(df, *made, "base_failed", "kept"))

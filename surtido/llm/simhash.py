@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surtido.llm.columns import text_of
+from surtido.llm.columns import small_batches, text_of
 from surtido.llm.components import array_components, components
 from surtido.llm.wordspans import LOWER, chunks, find_words, string_buffers
 from surtido.session import materialize
@@ -67,6 +67,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                  pa.array(text_fingerprints(batch["text"], shingle).view(np.int64))],
                 names=["doc_id", "body", "fp"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"),
                      text_of().alias("text"))
     return rows.mapInArrow(each, "doc_id long, body long, fp long")
