@@ -21,6 +21,8 @@ from surtido.llm.queries import TOKENIZER
 from surtido.llm.simhash import near_duplicates
 from surtido.session import materialize
 
+MEMO_WORDS = 100_000  # the workers serve other stages too, and keep what they remember
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -61,7 +63,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their sequences."""
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER), memo_words=MEMO_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [
