@@ -97,12 +97,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     tasks, and no document row is shuffled before it has matched. Beyond that both sides
     are shuffled by hash. Items shorter than a window are never found.
     """
-    items = template_windows(benchmark.filter("item_id IS NOT NULL"), ["item_id"], window).select(
-        "item_id", F.col("n_windows").alias("of"), F.col("pos").alias("at"), "h",
-        F.col("slots").alias("asked")).filter(
+    texts = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct().withColumn(
+        "item_text", F.xxhash64("text"))
+    items = template_windows(texts, ["item_id", "item_text"], window).select(
+        "item_id", "item_text", F.col("pos").alias("at"), "h", F.col("slots").alias("asked")).filter(
         F.size(F.filter("asked", lambda v: v == 0)) >= min_literals)
-    usable = items.groupBy("item_id").agg(F.count("*").alias("of"))  # windows that can match
-    items = items.drop("of").join(usable, "item_id")
+    usable = items.groupBy("item_id", "item_text").agg(F.count("*").alias("of"))  # windows that can match
+    items = items.join(usable, ["item_id", "item_text"])
     if items.count() <= broadcast_windows:
         items = F.broadcast(items)
     rows = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
@@ -110,25 +111,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
     pairs = F.filter(F.arrays_zip("asked", "slots"), lambda p: p["asked"] != 0)
     aligned = (
-        met.select("doc_id", "body", "item_id", "of", "at", (F.col("pos") - F.col("at")).alias("shift"),
+        met.select("doc_id", "body", "item_id", "item_text", "of", "at", (F.col("pos") - F.col("at")).alias("shift"),
                    pairs.alias("pairs"))
-        .groupBy("doc_id", "body", "item_id", "of", "shift")
+        .groupBy("doc_id", "body", "item_id", "item_text", "of", "shift")
         .agg(F.collect_set("at").alias("hit"), F.collect_set("pairs").alias("pairs"))
-        .select("doc_id", "body", "item_id", "of", "hit",
+        .select("doc_id", "body", "item_id", "item_text", "of", "hit",
                 F.array_distinct(F.flatten("pairs")).alias("pairs")))
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["asked"])))
     consistent = F.size("pairs") - values <= (1 - min_consistent) * values
     share = F.size(F.array_distinct(F.flatten(F.collect_set("hit")))) / F.col("of")
-    return (aligned.filter(consistent).groupBy("doc_id", "body", "item_id", "of")
-            .agg(share.alias("share")).filter(F.col("share") >= min_share).drop("of"))
+    return (aligned.filter(consistent).groupBy("doc_id", "body", "item_id", "item_text", "of")
+            .agg(share.alias("share")).filter(F.col("share") >= min_share)
+            .groupBy("doc_id", "body", "item_id").agg(F.max("share").alias("share")))
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with ``contaminated``, ``n_items``, ``item_ids`` and ``best_share``.
 
     Null or empty text, or one shorter than a window: clean. Repeated rows and equal texts:
-    the same verdict each. Null ``doc_id``: judged like any other. Repeated or null items:
-    one item an id, null ids take no part. Empty benchmark: all clean. Empty table: empty.
+    the same verdict each. Null ``doc_id``: judged like any other. Repeated items count
+    once; of several texts under one id the one found best counts. Null ids take no part.
+    Empty benchmark: all clean. Empty table: empty.
     Other columns stay; input columns with the names of the made ones are replaced.
     Options are those of ``find_leaks``; one small job runs when called.
     """

@@ -223,3 +223,12 @@ def test_leaks_over_shuffle_equal_broadcast(spark, docs):
     assert sent == dealt and len(sent) == 12
     assert find_leaks(table, benchmark.limit(0)).collect() == []
     assert leaks_by_document(docs([]), benchmark).collect() == []
+
+
+def test_repeated_items_and_texts_under_one_id(spark, docs):
+    assert leaks(spark, docs, [ITEM, prose(1)], [(1, ITEM)] * 3) == [[1], []]
+    several = [(1, ITEM), (1, prose(21, 33)), (1, prose(22, 33)), (1, None), (2, prose(23, 33))]
+    table = docs([(0, ITEM), (1, prose(22, 33)), (2, prose(5, 33))])
+    benchmark = spark.createDataFrame(several, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.share) for r in find_leaks(table, benchmark).collect())
+    assert got == [(0, 1, 1.0), (1, 1, 1.0)]
