@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surtido.llm.columns import others, text_of
@@ -11,10 +13,17 @@ WINDOW = 8
 MIN_LITERALS = 4       # words of a window that are no placeholders
 MIN_SHARE = 0.4        # of an item's windows that a document must have
 MIN_CONSISTENT = 0.5   # of an item's slot values that must map to one value of the document
+SHORT = 20             # tokens up to which one changed word can cost too many windows
+MIN_TOKENS = 3         # of an item that is looked for: a word or two is in any text
+MAX_DRIFT = 2          # words put in or left out between alignments that count together
 BROADCAST_WINDOWS = 200_000  # windows of the benchmark that are sent to every task, at most
 
 SENTENCE_ENDS = ".!?\n"
-BARE = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}]*"
+# Scripts without spaces (Thai to Lao, Burmese, Khmer, kana, Han)
+UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF"
+            r"\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}")
+BARE = (rf"[0-9]+(?:[.,][0-9]+)*|[\p{{L}}&&[^{UNSPACED}]][[\p{{L}}\p{{M}}]&&[^{UNSPACED}]]*"
+        rf"|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*")
 TOKEN = rf"(?:[{SENTENCE_ENDS}][^\p{{L}}0-9]*)?(?:{BARE})"
 NAME = r"^\p{Lu}[\p{Ll}\p{M}]+$"
 # Units that are placeholders behind a number
@@ -58,23 +67,40 @@ def _template_token(x: Column, i: Column) -> Column:
             .when(F.lower(x) == x, x).when(name, "<name>").otherwise(F.lower(x)))
 
 
-def template_windows(df: DataFrame, key: list[str], window: int = WINDOW) -> DataFrame:
-    """``key``, ``n_windows``, ``pos``, ``h``, ``slots``: every window of ``window`` tokens.
+def template_windows(df: DataFrame, key: list[str], sizes: Iterable[int] = (WINDOW,),
+                     min_literals: int = MIN_LITERALS) -> DataFrame:
+    """``key``, ``n``, ``size``, ``pos``, ``h``, ``slots``, ``vague``: all windows of these sizes.
 
-    ``h`` is the hash of the window's template, ``slots`` its slots' values in place.
+    ``n`` is the number of tokens, ``slots`` the values of a window's slots in place, ``h``
+    the hash of its template. A window with fewer than ``min_literals`` literal words is
+    vague: its ``h`` is of the template and the values.
     """
+    sizes = sorted(sizes)
     # Arrays are read by element: a slice would copy the whole array for every window. Both are
     # named more than once, so that no optimizer copies their making into the lambda.
-    last = F.least(F.size("_hashes"), F.size("_slots")) - window
-    element = lambda name, i: [F.get(name, i + k) for k in range(window)]
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(
-        F.xxhash64(*element("_hashes", i)).alias("h"), F.array(*element("_slots", i)).alias("slots")))
-    whole = _tokens(df, key).select(
-        *key, (last + 1).alias("n_windows"), F.when(last >= 0, cut).alias("_cut"))
+    n = F.least(F.size("_hashes"), F.size("_slots"))
+    element = lambda name, i, size: [F.get(name, i + k) for k in range(size)]
+
+    def cut(size: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(
+            F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(*element("_hashes", i, size)).alias("h"),
+            F.array(*element("_slots", i, size)).alias("slots")))
+        return F.when(n >= size, each)
+
+    cuts = [cut(size) for size in sizes]
+    if len(cuts) > 1:
+        cuts = [F.concat(*(F.coalesce(c, F.slice(cut(sizes[0]), 1, 0)) for c in cuts[1:]), cuts[0])]
+    whole = _tokens(df, key).select(*key, n.alias("n"), cuts[0].alias("_cut"))
+    literals = sum(F.coalesce(F.get("slots", F.lit(k)) == 0, F.lit(False)).cast("int") for k in range(sizes[-1]))
     # The outer form: for the inner one a filter is inferred that makes the windows once more.
-    return whole.select(*key, "n_windows", F.posexplode_outer("_cut").alias("pos", "_w")).filter(
-        "pos IS NOT NULL").select(
-        *key, "n_windows", "pos", F.col("_w.h").alias("h"), F.col("_w.slots").alias("slots"))
+    return whole.select(*key, "n", F.explode_outer("_cut").alias("_w")).filter(
+        "_w IS NOT NULL").select(*key, "n", "_w.*").withColumn("vague", literals < min_literals).withColumn(
+        "h", F.when(F.col("vague"), F.xxhash64("h", "slots")).otherwise(F.col("h")))
+
+
+def _fine_size(n: Column, window: int) -> Column:
+    """Windows of short items: the whole below ``window`` tokens, else a third of it, 3 to 5 tokens."""
+    return F.when(n < window, n).when(n <= SHORT, F.greatest(F.lit(3), F.least(F.lit(5), F.floor(n / 3))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE,
@@ -84,51 +110,82 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
     Texts become templates: numbers, units behind a number and names (capitalised words
     that do not open a sentence) turn into typed placeholders, all other words are
-    lower-cased, punctuation goes. Windows of
-    ``window`` tokens are joined by the hash of their template; benchmark windows with
-    fewer than ``min_literals`` literal words are too vague and take no part. Matches on
+    lower-cased, punctuation goes; in scripts without spaces a character is a word.
+    Windows of ``window`` tokens are joined by the hash of their template; benchmark windows
+    with fewer than ``min_literals`` literal words are too vague for that. Matches on
     one alignment of document and item belong together: there, slots are consistent if at
     least ``min_consistent`` of the item's values stand for one value of the document
     each, be it the same or another. ``share`` is the part of the item's windows that
     consistent alignments cover; ``min_share`` of it makes a leak. So copies are found,
     and questions asked again with other numbers and names.
 
+    Items that are not found so get a finer look: vague windows match by template and
+    values, items of up to ``SHORT`` tokens also have smaller windows, and those below
+    ``window`` tokens one of their whole length. There, the tokens are counted that one
+    alignment and those up to ``MAX_DRIFT`` further on cover. A short item may lack as
+    many tokens as its small window has, which is what one changed word costs; a longer one
+    needs as many tokens as ``min_share`` of its windows span in a row; one below ``window``
+    tokens all. ``share`` is then the part of the tokens. Items below ``MIN_TOKENS`` tokens
+    are not looked for.
+
     The benchmark's windows are counted; up to ``broadcast_windows`` they are sent to all
     tasks, and no document row is shuffled before it has matched. Beyond that both sides
-    are shuffled by hash. Items shorter than a window are never found.
+    are shuffled by hash.
     """
+    text, item = ["item_id", "item_text"], ["doc_id", "body", "item_id", "item_text", "of", "n"]
     texts = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct().withColumn(
         "item_text", F.xxhash64("text"))
-    items = template_windows(texts, ["item_id", "item_text"], window).select(
-        "item_id", "item_text", F.col("pos").alias("at"), "h", F.col("slots").alias("asked")).filter(
-        F.size(F.filter("asked", lambda v: v == 0)) >= min_literals)
-    usable = items.groupBy("item_id", "item_text").agg(F.count("*").alias("of"))  # windows that can match
-    items = items.join(usable, ["item_id", "item_text"])
-    if items.count() <= broadcast_windows:
+    items = template_windows(texts, text, range(MIN_TOKENS, max(window, 5) + 1), min_literals).filter(
+        (F.col("size") == window) | (F.col("size") == _fine_size(F.col("n"), window))).select(
+        *text, "n", "size", F.col("pos").alias("at"), "h", F.col("slots").alias("asked"),
+        ((F.col("size") == window) & ~F.col("vague")).alias("strict"))
+    usable = items.filter("strict").groupBy(*text).agg(F.count("*").alias("of"))
+    items = items.join(usable, text, "left")
+    counted = items.agg(F.count("*").alias("rows"), F.collect_set("size").alias("sizes")).first()
+    if counted.rows <= broadcast_windows:
         items = F.broadcast(items)
     rows = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    met = template_windows(rows, ["doc_id", "body"], window).drop("n_windows").join(items, "h")
+    met = template_windows(rows, ["doc_id", "body"], counted.sizes or [window], min_literals).select(
+        "doc_id", "body", "pos", "h", "slots").join(items, "h")
 
     pairs = F.filter(F.arrays_zip("asked", "slots"), lambda p: p["asked"] != 0)
     aligned = (
-        met.select("doc_id", "body", "item_id", "item_text", "of", "at", (F.col("pos") - F.col("at")).alias("shift"),
+        met.select(*item, "at", "size", "strict", (F.col("pos") - F.col("at")).alias("shift"),
                    pairs.alias("pairs"))
-        .groupBy("doc_id", "body", "item_id", "item_text", "of", "shift")
-        .agg(F.collect_set("at").alias("hit"), F.collect_set("pairs").alias("pairs"))
-        .select("doc_id", "body", "item_id", "item_text", "of", "hit",
-                F.array_distinct(F.flatten("pairs")).alias("pairs")))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["asked"])))
-    consistent = F.size("pairs") - values <= (1 - min_consistent) * values
+        .groupBy(*item, "shift")
+        .agg(F.collect_set(F.when(F.col("strict"), F.col("at"))).alias("hit"),
+             F.collect_set(F.when(F.col("strict"), F.col("pairs"))).alias("pairs"),
+             F.collect_set(F.struct("at", "size")).alias("spans"), F.collect_set("pairs").alias("all_pairs"))
+        .select(*item, "shift", "hit", "spans", F.array_distinct(F.flatten("pairs")).alias("pairs"),
+                F.array_distinct(F.flatten("all_pairs")).alias("all_pairs")))
+
+    def consistent(pairs: str) -> Column:
+        values = F.size(F.array_distinct(F.transform(pairs, lambda p: p["asked"])))
+        return F.size(pairs) - values <= (1 - min_consistent) * values
+
+    none = F.array().cast("array<int>")
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(
+        s["at"], s["at"] + s["size"] - 1))))
+    near = Window.partitionBy(*item).orderBy("shift").rangeBetween(0, MAX_DRIFT)
+    judged = aligned.select(
+        *item, "shift", F.when(consistent("pairs"), F.col("hit")).otherwise(none).alias("hit"),
+        F.when(consistent("all_pairs"), covered).otherwise(none).alias("covered")).withColumn(
+        "tokens", F.size(F.array_distinct(F.flatten(F.collect_list("covered").over(near)))))
     share = F.size(F.array_distinct(F.flatten(F.collect_set("hit")))) / F.col("of")
-    return (aligned.filter(consistent).groupBy("doc_id", "body", "item_id", "item_text", "of")
-            .agg(share.alias("share")).filter(F.col("share") >= min_share)
+    least = F.when(F.col("n") < window, F.col("n")).when(
+        F.col("n") <= SHORT, F.col("n") - _fine_size(F.col("n"), window)).otherwise(
+        F.ceil(min_share * (F.col("n") - (window - 1))) + (window - 1))
+    return (judged.groupBy(*item).agg(share.alias("share"), F.max("tokens").alias("tokens"))
+            .withColumn("share", F.when(F.col("share") >= min_share, F.col("share"))
+                        .when(F.col("tokens") >= least, F.col("tokens") / F.col("n")))
+            .filter("share IS NOT NULL")
             .groupBy("doc_id", "body", "item_id").agg(F.max("share").alias("share")))
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with ``contaminated``, ``n_items``, ``item_ids`` and ``best_share``.
 
-    Null or empty text, or one shorter than a window: clean. Repeated rows and equal texts:
+    Null or empty text: clean. Repeated rows and equal texts:
     the same verdict each. Null ``doc_id``: judged like any other. Repeated items count
     once; of several texts under one id the one found best counts. Null ids take no part.
     Empty benchmark: all clean. Empty table: empty.

@@ -232,3 +232,24 @@ def test_repeated_items_and_texts_under_one_id(spark, docs):
     benchmark = spark.createDataFrame(several, "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.share) for r in find_leaks(table, benchmark).collect())
     assert got == [(0, 1, 1.0), (1, 1, 1.0)]
+
+
+SHORT_ITEMS = [(1, "the old mill near our village grinds wheat and rye from every farm"),  # 13 tokens
+               (2, "What is the capital of France?"), (3, "Compute 12 + 34 * 56 - 78 / 90 + 11 * 13 - 17 now."),
+               (4, "小明有五个苹果他又买了三个请问他现在一共有几个苹果")]
+
+
+def test_short_and_vague_items_and_scripts_without_spaces(spark, docs):
+    changed = SHORT_ITEMS[0][1].replace("wheat", "barley")
+    texts = [f"{prose(1)}. {t} {prose(2)}" for _, t in SHORT_ITEMS] + [
+        f"{prose(1)} {changed} {prose(2)}", "他说，" + SHORT_ITEMS[3][1].replace("苹", "梨") + "。",
+        "What is the price of bread?", "Compute 21 + 43 * 65 - 87 / 90 + 1 * 3 - 7 now.",
+        "the old mill near our town sells bread made of rye"]
+    assert leaks(spark, docs, texts, SHORT_ITEMS) == [[1], [2], [3], [4], [1], [4], [], [], []]
+
+
+@pytest.mark.parametrize("n", [8, 11, 12, 15, 17, 20])
+def test_one_changed_word_anywhere_in_a_short_item(spark, docs, n):
+    item = prose(31, n, 10**6).split()
+    texts = [" ".join(["zu", *item[:i], "other", *item[i + 1:], "za"]) for i in range(n)]
+    assert leaks(spark, docs, texts, [(1, " ".join(item))]) == [[1]] * n
