@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,6 +23,7 @@ BLOCKS = frozenset("address article blockquote body center dd details div dl dt
                    "tr ul".split()) | DROPPED
 PARAGRAPHS = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt".split())
 CLOSES_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot button label option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td".split())
 # A tag that begins closes an open one of the same kind: (kind, tags where the search ends)
 CLOSED_BY = {
@@ -34,11 +35,16 @@ CLOSED_BY = {
 }
 # Names of classes, ids and roles of what is no article
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|"
-    r"disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|"
-    r"pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|skip|"
-    r"social|sponsor\w*|subscribe|taboola|toolbar|widget|alert|complementary|contentinfo|search)"
-    r"(?:$|[\s_-])", re.I)
+    r"(?:^|[_-])(?:ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|"
+    r"footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|"
+    r"pager|pagination|popup|promo\w*|related|share|sharing|sidebar|signup|skip|"
+    r"social|sponsor\w*|subscribe|taboola|toolbar|widget|alert|complementary|contentinfo|search)(?:$|[_-])"
+    r"|^(?:(?:site|top|global)[_-])?header$", re.I)
+COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[_-])", re.I)
+COMMENT = re.compile(r"^(?:comments?|comment[_-](?:body|content|text)|reply|replies)$", re.I)
+# Names that tell how a box is laid out or set, not what is in it
+LAYOUT = re.compile(r"^(?:has|no|not|with|without|is|hide|show)[_-]"
+                    r"|[_-](?:container|wrapper|wrap|layout|inner|open|closed|enabled|disabled|active)$", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
@@ -135,20 +141,81 @@ def _block(node: Node) -> Node:
     return node
 
 
-def prune(node: Node) -> None:
-    """Take out what is never part of an article: menus, notices, adverts, forms, comments."""
+def prune(root: Node) -> None:
+    """Take out what is never part of an article: menus, notices, adverts, forms, comments.
+
+    Names of layout boxes often hold such words: a box that holds the article, or most of
+    the page's text, stays.
+    """
+    _drop(root, lambda c: c.hidden or _comments(c) or c.tag in DROPPED and not (
+        c.tag == "header" and _within_article(c)))
+    named = _drop(root, _unlikely, False)
+    if named:
+        holders = _holders(root)
+        _drop(root, lambda c: c in named and c not in holders)
+
+
+def _drop(root: Node, unlikely: Callable[[Node], bool], out: bool = True) -> set[Node]:
+    """The nodes that ``unlikely`` names; with ``out`` they are taken out with all they hold."""
+    found: set[Node] = set()
+    stack = [root]
+    while stack:
+        here = stack.pop()
+        gone = {c for c in here.children if isinstance(c, Node) and unlikely(c)}
+        found |= gone
+        if out and gone:
+            here.children = [c for c in here.children if c not in gone]
+        stack += [c for c in here.children if isinstance(c, Node)]
+    return found
+
+
+def _roles(node: Node) -> list[str]:
+    return [name for name in node.names.split() if not LAYOUT.search(name)]
+
+
+def _comments(node: Node) -> bool:
+    """Comments, but no box that holds an article of another name; an article only if it is one."""
+    if not node.names or node.tag in ("html", "body", "main"):
+        return False
+    if node.tag == "article":
+        return any(COMMENT.search(name) for name in _roles(node))
+    if not any(COMMENTS.search(name) for name in _roles(node)):
+        return False
     stack = [node]
     while stack:
         here = stack.pop()
-        here.children = [c for c in here.children if isinstance(c, str) or not _unlikely(c)]
+        if here.tag == "main" or here.tag == "article" and not any(COMMENT.search(n) for n in here.names.split()):
+            return False
         stack += [c for c in here.children if isinstance(c, Node)]
+    return True
 
 
 def _unlikely(node: Node) -> bool:
-    if node.hidden or node.tag in DROPPED and not (node.tag == "header" and _within_article(node)):
-        return True
-    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and \
-        bool(UNLIKELY.search(node.names)) and not LIKELY.search(node.names)
+    if not node.names or node.tag in ("html", "body", "article", "main") or LIKELY.search(node.names):
+        return False
+    roles = [name for name in _roles(node) if UNLIKELY.search(name)]
+    if all(name.lower() == "header" for name in roles):
+        return bool(roles) and node.tag not in HEADINGS and not _within_article(node)
+    return True
+
+
+def _holders(root: Node) -> set[Node]:
+    """The nodes that hold the page's article, or more than half of the points of its paragraphs.
+
+    The article or main with most points is the article, if it has a quarter of all.
+    """
+    sizes = lengths(root)
+    points = dict.fromkeys(sizes, 0.0)
+    for node, (total, linked, commas) in sizes.items():  # children first
+        if node.tag in PARAGRAPHS and total - linked >= MIN_LENGTH:
+            points[node] = max(points[node], _points(total, linked, commas))
+        if node.parent is not None and node is not root:
+            points[node.parent] += points[node]
+    articles = [n for n in sizes if n.tag in ("article", "main")]
+    best = max(articles, key=points.get, default=None)
+    if best is not None and points[best] > 0 and points[best] * 4 >= points[root]:
+        return set(_ancestors(best))
+    return {n for n in sizes if points[n] * 2 > points[root]}
 
 
 def _within_article(node: Node) -> bool:
@@ -180,6 +247,10 @@ def lengths(node: Node) -> dict[Node, tuple[int, int, int]]:
     return out
 
 
+def _points(total: int, linked: int, commas: int) -> float:
+    return (1 + commas + min(total // 100, 3)) * (1 - linked / total)
+
+
 def score(root: Node, sizes: dict[Node, tuple[int, int, int]]) -> list[Node]:
     """Nodes that got points, with ``score`` discounted by link density.
 
@@ -191,7 +262,7 @@ def score(root: Node, sizes: dict[Node, tuple[int, int, int]]) -> list[Node]:
     for node, (total, linked, commas) in sizes.items():
         if node.tag not in PARAGRAPHS or total - linked < MIN_LENGTH:
             continue
-        points = (1 + commas + min(total // 100, 3)) * (1 - linked / total)
+        points = _points(total, linked, commas)
         above, distance = node.parent, 0
         while above is not None and distance < 5:
             if not above.score:
@@ -274,7 +345,8 @@ def extract(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with ``text``, the main text of ``html``, and ``n_chars``, its length.
 
     A page's tree is built with the usual repairs of missing ends. Menus, headers, footers,
-    sidebars, notices, adverts, forms and comments go by tag, class, id and role. The
+    sidebars, notices, adverts, forms and comments go by tag, class, id and role, but no box
+    that holds the article goes by its name. The
     paragraphs that are left give points for length and commas to their ancestors; a
     container's points are discounted by its share of linked text. The best container is
     kept, and siblings that score well or are plain paragraphs beside it.

@@ -188,6 +188,29 @@ def test_pages_with_nothing_or_too_much(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+BODY = f"<h1>Head &amp; line</h1><p>{ARTICLE[0]}</p><p>{ARTICLE[1]}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='{name}'>{open_}{BODY}{close}</div>" for name in (
+        "elementor-widget-container", "has-sidebar", "no-sidebar", "layout right-sidebar", "search sidebar")
+    for open_, close in (("", ""), ("<article>", "</article>"))] + [
+    f"<article>{BODY}<{tag} class='{name}'><p>{ARTICLE[0]}</p><p>{ARTICLE[0]}</p></{tag}></article>"
+    for tag, name in (("div", "comment-body"), ("div", "comment-content"), ("section", "post-comments"))] + [
+    f"<div class='has-sidebar'><div>{BODY}</div><div class='right-sidebar'><p>{ARTICLE[0]}</p></div></div>",
+    f"<div class='comments-on disqus'><article class='post comment-status'>{BODY}</article></div>",
+    f"<article>{BODY}</article><ol class=comment-list><li><article class='comment-body'><p>{ARTICLE[0]}</p>"
+    "</article></ol>",
+    f"<article><h1 class='section-header'>{BODY[4:]}</article>",
+    f"<article>{BODY}</article><section class=related><article><p>{ARTICLE[0]}</p></article></section>"])
+def test_layout_names_keep_an_article_and_comments_go(page):
+    assert main_text(f"<body>{page}</body>") == WANT
+
+
+def test_a_byline_inside_an_article_stays():
+    assert main_text(f"<article><p class=byline>By A. Writer</p><p>{ARTICLE[0]}</p></article>").startswith("By A.")
+
+
 ITEM = ("A train leaves Paris at 9 in the morning and travels 300 km to Lyon with 2 stops. "
         "How long does the train need if it drives 120 km in every hour of its way?")
 AGAIN = ("A train leaves Madrid at 7 in the morning and travels 450 miles to Sevilla with 4 stops. "
