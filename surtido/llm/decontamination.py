@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ MIN_TOKENS = 3         # of an item that is looked for: a word or two is in any
 MAX_DRIFT = 2          # words put in or left out between alignments that count together
 BROADCAST_WINDOWS = 200_000  # windows of the benchmark that are sent to every task, at most
 
+PLAIN, ALL_NAMES, NO_NAMES = "", "_all", "_none"  # kinds of templates
+
 SENTENCE_ENDS = ".!?\n"
 # Scripts without spaces (Thai to Lao, Burmese, Khmer, kana, Han)
 UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF"
@@ -35,17 +37,34 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees w kw v a hz kb mb gb").split()
 
 
-def _tokens(df: DataFrame, key: list[str]) -> DataFrame:
-    """``key``, the template's hash of every token, and a slot's value (0: a literal word)."""
+def _tokens(df: DataFrame, key: list[str], kinds_of: Iterable[str]) -> DataFrame:
+    """``key``, the template's hash of every token, and a slot's value (0: a literal word).
+
+    Both again for other kinds of templates: where all capitalised words are names, or none.
+    """
     found = df.select(*key, F.regexp_extract_all(text_of(), F.lit(TOKEN), F.lit(0)).alias("_found"))
     bare = found.select(*key, "_found", F.transform("_found", lambda x: F.when(
         _opens(x), F.regexp_extract(x, BARE, 0)).otherwise(x)).alias("_tokens"))
     kinds = bare.select(*key, "_tokens", F.transform("_tokens", _template_token).alias("_template"))
-    return kinds.select(
-        *key, F.transform("_template", lambda t: F.xxhash64(t)).alias("_hashes"),
+    plain = kinds.select(
+        *key, "_tokens", "_template", F.transform("_template", lambda t: F.xxhash64(t)).alias("_hashes"),
         F.transform("_tokens", lambda x, i: F.when(
             F.get("_template", i).startswith("<"), F.xxhash64(x)).otherwise(F.lit(0))).alias("_slots"))
 
+    def turned(kind: str, array: str, value: Callable[[Column], Column]) -> Column:
+        kept = lambda i: F.get(array, i)
+        is_name = lambda x, i: ~F.get("_template", i).startswith("<") & x.rlike(NAME)
+        if kind == NO_NAMES:
+            is_name = lambda x, i: F.get("_template", i) == "<name>"
+        return F.transform("_tokens", lambda x, i: F.when(F.get("_template", i) == x, kept(i)).when(
+            is_name(x, i), value(x)).otherwise(kept(i))).alias(array + kind)
+
+    made = {ALL_NAMES: (lambda x: F.xxhash64(F.lit("<name>")), lambda x: F.xxhash64(x)),
+            NO_NAMES: (lambda x: F.xxhash64(F.lower(x)), lambda x: F.lit(0).cast("long"))}
+    return plain.select(*key, "_hashes", "_slots", *(
+        turned(k, array, value) for k in kinds_of if k in made
+        for array, value in zip(("_hashes", "_slots"), made[k])))
+
 
 def _opens(token: Column) -> Column:
     """Whether a token was found with the end of a sentence before it, told by its first byte."""
@@ -67,31 +86,34 @@ def _template_token(x: Column, i: Column) -> Column:
             .when(F.lower(x) == x, x).when(name, "<name>").otherwise(F.lower(x)))
 
 
-def template_windows(df: DataFrame, key: list[str], sizes: Iterable[int] = (WINDOW,),
+def template_windows(df: DataFrame, key: list[str], forms: Iterable[tuple[int, str]] = ((WINDOW, PLAIN),),
                      min_literals: int = MIN_LITERALS) -> DataFrame:
-    """``key``, ``n``, ``size``, ``pos``, ``h``, ``slots``, ``vague``: all windows of these sizes.
+    """``key``, ``n``, ``plain``, ``size``, ``pos``, ``h``, ``slots``, ``vague``: all windows of these forms.
 
-    ``n`` is the number of tokens, ``slots`` the values of a window's slots in place, ``h``
-    the hash of its template. A window with fewer than ``min_literals`` literal words is
-    vague: its ``h`` is of the template and the values.
+    A form is a size and a kind of template. ``n`` is the number of tokens, ``slots`` the
+    values of a window's slots in place, ``h`` the hash of its template. A window with fewer
+    than ``min_literals`` literal words is vague: its ``h`` is of the template and the values.
     """
-    sizes = sorted(sizes)
+    forms = sorted(forms)
+    kinds = sorted({kind for _, kind in forms})
     # Arrays are read by element: a slice would copy the whole array for every window. Both are
     # named more than once, so that no optimizer copies their making into the lambda.
-    n = F.least(F.size("_hashes"), F.size("_slots"))
+    n = F.least(*(F.size(array + kind) for kind in {*kinds, PLAIN} for array in ("_hashes", "_slots")))
     element = lambda name, i, size: [F.get(name, i + k) for k in range(size)]
 
-    def cut(size: int) -> Column:
+    def cut(size: int, kind: str) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(
-            F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(*element("_hashes", i, size)).alias("h"),
-            F.array(*element("_slots", i, size)).alias("slots")))
+            F.lit(kind == PLAIN).alias("plain"), F.lit(size).alias("size"), i.alias("pos"),
+            F.xxhash64(*element("_hashes" + kind, i, size)).alias("h"),
+            F.array(*element("_slots" + kind, i, size)).alias("slots")))
         return F.when(n >= size, each)
 
-    cuts = [cut(size) for size in sizes]
+    empty = F.slice(cut(*forms[0]), 1, 0)
+    cuts = [cut(*form) for form in forms]
     if len(cuts) > 1:
-        cuts = [F.concat(*(F.coalesce(c, F.slice(cut(sizes[0]), 1, 0)) for c in cuts[1:]), cuts[0])]
-    whole = _tokens(df, key).select(*key, n.alias("n"), cuts[0].alias("_cut"))
-    literals = sum(F.coalesce(F.get("slots", F.lit(k)) == 0, F.lit(False)).cast("int") for k in range(sizes[-1]))
+        cuts = [F.concat(*(F.coalesce(c, empty) for c in cuts[1:]), cuts[0])]
+    whole = _tokens(df, key, kinds).select(*key, n.alias("n"), cuts[0].alias("_cut"))
+    literals = sum(F.coalesce(F.get("slots", F.lit(k)) == 0, F.lit(False)).cast("int") for k in range(forms[-1][0]))
     # The outer form: for the inner one a filter is inferred that makes the windows once more.
     return whole.select(*key, "n", F.explode_outer("_cut").alias("_w")).filter(
         "_w IS NOT NULL").select(*key, "n", "_w.*").withColumn("vague", literals < min_literals).withColumn(
@@ -119,7 +141,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     consistent alignments cover; ``min_share`` of it makes a leak. So copies are found,
     and questions asked again with other numbers and names.
 
-    Items that are not found so get a finer look: vague windows match by template and
+    Items that are not found so get a finer look: capitalised words that open a sentence
+    may be names on both sides, and an item's names plain words of a document in other case;
+    vague windows match by template and
     values, items of up to ``SHORT`` tokens also have smaller windows, and those below
     ``window`` tokens one of their whole length. There, the tokens are counted that one
     alignment and those up to ``MAX_DRIFT`` further on cover. A short item may lack as
@@ -135,18 +159,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     text, item = ["item_id", "item_text"], ["doc_id", "body", "item_id", "item_text", "of", "n"]
     texts = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct().withColumn(
         "item_text", F.xxhash64("text"))
-    items = template_windows(texts, text, range(MIN_TOKENS, max(window, 5) + 1), min_literals).filter(
+    forms = [(size, kind) for size in range(MIN_TOKENS, max(window, 5) + 1) for kind in (PLAIN, ALL_NAMES, NO_NAMES)]
+    items = template_windows(texts, text, forms, min_literals).filter(
         (F.col("size") == window) | (F.col("size") == _fine_size(F.col("n"), window))).select(
         *text, "n", "size", F.col("pos").alias("at"), "h", F.col("slots").alias("asked"),
-        ((F.col("size") == window) & ~F.col("vague")).alias("strict"))
+        (F.col("plain") & (F.col("size") == window) & ~F.col("vague")).alias("strict"))
+    items = items.groupBy(*text, "n", "size", "at", "h", "asked").agg(F.max("strict").alias("strict"))
     usable = items.filter("strict").groupBy(*text).agg(F.count("*").alias("of"))
     items = items.join(usable, text, "left")
     counted = items.agg(F.count("*").alias("rows"), F.collect_set("size").alias("sizes")).first()
     if counted.rows <= broadcast_windows:
         items = F.broadcast(items)
     rows = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    met = template_windows(rows, ["doc_id", "body"], counted.sizes or [window], min_literals).select(
-        "doc_id", "body", "pos", "h", "slots").join(items, "h")
+    forms = [(size, PLAIN) for size in counted.sizes or [window]] + [(window, ALL_NAMES)]
+    met = template_windows(rows, ["doc_id", "body"], forms, min_literals).select(
+        "doc_id", "body", "plain", "pos", "h", "slots").join(items, "h").withColumn(
+        "strict", F.col("strict") & F.col("plain"))
 
     pairs = F.filter(F.arrays_zip("asked", "slots"), lambda p: p["asked"] != 0)
     aligned = (

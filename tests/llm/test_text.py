@@ -276,3 +276,16 @@ def test_one_changed_word_anywhere_in_a_short_item(spark, docs, n):
     item = prose(31, n, 10**6).split()
     texts = [" ".join(["zu", *item[:i], "other", *item[i + 1:], "za"]) for i in range(n)]
     assert leaks(spark, docs, texts, [(1, " ".join(item))]) == [[1]] * n
+
+
+APPLES = ("Tom has 5 red apples. Ann has 7 green apples. Bob eats 3 of them. "
+          "How many apples are left now?")
+
+
+def test_names_that_open_sentences_and_lower_cased_names(spark, docs):
+    other = APPLES.replace("Tom", "Jim").replace("Ann", "Eva").replace("Bob", "Max")
+    other = other.replace("5", "6").replace("7", "9")
+    mill = "the old mill of Anna near Boris and Clara grinds wheat for David and rye for Emil every day"
+    texts = [f"{prose(1)}. {APPLES}", f"{prose(1)}. {other} {prose(2)}", mill.lower(), f"so {SHORT_ITEMS[1][1]} {prose(3)}",
+             "Tom has 5 red pens. Ann buys 7 green books. Bob eats 3 of his cakes. How many people are here now?"]
+    assert leaks(spark, docs, texts, [(1, APPLES), (2, mill), (3, SHORT_ITEMS[1][1])]) == [[1], [1], [2], [3], []]
