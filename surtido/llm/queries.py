@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surtido.llm.conversation_repair import COUNTS, damage, digests, meet, repair
 from surtido.llm.decontamination import leaks_by_document
 from surtido.llm.html_extraction import extract
 from surtido.llm.line_dedup import dedup_lines
+from surtido.llm.one_bit_search import nearest_neighbours
 from surtido.llm.packing import pack
 from surtido.llm.quality_classifier import classify
 from surtido.llm.quality_rules import judge
@@ -18,6 +20,7 @@ from surtido.llm.sharding import shard_rows
 from surtido.llm.simhash import hex16, near_duplicates
 from surtido.llm.substring_dedup import dedup_substrings
 from surtido.llm.url_filter import filter_urls
+from surtido.llm.whitening import whiten
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -84,6 +87,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    repaired = repair(damage(rows))
+    told = meet(meet(rows.select("conv_id").distinct(), repaired.reports, "conv_id", how="left"),
+                digests(repaired.turns), "conv_id", how="left")
+    return told.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.select("*", F.posexplode(F.arrays_zip("whitened", "explained"))).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col.whitened").alias("whitened"),
+        F.col("col.explained").alias("explained"), "identity_error", "deviation_exact")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
@@ -95,4 +121,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
