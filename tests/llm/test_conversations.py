@@ -176,7 +176,7 @@ def test_odd_rows(spark, uncoalesced):
     out = repair(df)
     got = {r.conv_id: r for r in out.reports.collect()}
     assert got[5].blank == 5 and got[5].gaps == 0
-    assert (got[6].duplicate, got[6].illegal) == (1, 2)
+    assert (got[6].duplicate, got[6].illegal) == (1, 1)
     assert got[7].gaps == 2**63 - 1 and got[7].audit == "KK"
     assert got[8].audit == "KK"
     assert out.turns.filter("conv_id = 8").count() == 2
