@@ -27,42 +27,46 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the log-likelihood ratio keep."""
+    """Documents that the rules and the log-likelihood ratio keep.
+
+    Null and empty texts go; rows that repeat, or share an id, are judged each by its own text.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge(docs, labels).filter("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that many share; ``n_chars`` is counted anew."""
+    """Documents less the lines that many share; ``n_chars`` is counted anew.
+
+    Every row stays, if only with an empty text; a null text becomes empty.
+    """
     return (dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
             .select(*docs.columns))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.
+    """One document of each group: the one with the smallest id, ties to the smallest hash of the text.
 
-    Of rows that share this id, the one whose text has the smallest hash stays; rows equal
-    in both are one. A group without any id stays as it is.
+    Groups are told apart by their fingerprints, so rows with one id and unrelated texts stay, each for
+    its own group. Rows equal in id and text are one. A null id comes last. Texts without a word are one group.
     """
-    keep = (near_duplicates(docs).filter("doc_id = component_id OR component_id IS NULL")
-            .groupBy("doc_id", F.when(F.isnull("component_id"), F.col("body")).alias("own"))
-            .agg(F.min("body").alias("body")))
-    keys = ["_none", "_id", "_body"]  # joined and grouped alike, so texts are shuffled once
-    named = lambda df, body: df.withColumns({
-        "_none": F.isnull("doc_id"), "_id": F.coalesce("doc_id", F.lit(0)), "_body": body})
-    keep = named(keep, F.col("body")).select(*keys)
-    kept = named(docs, F.xxhash64("text")).join(keep, keys, "left_semi")
-    return kept.dropDuplicates(keys).select(*docs.columns)
+    one = F.min(F.struct(F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"),
+                         F.col("body").alias("_body")))
+    keep = near_duplicates(docs).groupBy("root").agg(one.alias("one")).select("one.*")
+    keys = keep.columns  # joined and grouped alike, so texts are shuffled once
+    kept = docs.withColumns({
+        "_none": F.isnull("doc_id"), "_id": F.coalesce("doc_id", F.lit(0)), "_body": F.xxhash64("text")})
+    return kept.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item in them."""
+    """Documents without a benchmark item in them; those without a text stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return leaks_by_document(docs, benchmark).filter("NOT contaminated").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequences."""
+    """The pieces of all documents, with their sequences; an empty document is its end mark."""
     return pack(docs, public_tokenizers.path(TOKENIZER), memo_words=MEMO_WORDS)
 
 

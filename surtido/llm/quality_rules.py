@@ -18,7 +18,6 @@ from surtido.llm.wordspans import (
 BUCKETS = 1 << 18
 PSEUDO_COUNT = 30.0      # corpus n-grams added to each bucket
 THRESHOLD = -0.2         # log ratio an n-gram; below it a document goes
-TARGET_ROWS = 200_000    # bound on the labelled documents that make the target
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 MAX_REPEAT_PERCENT = 20
@@ -101,23 +100,22 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """(doc_id): documents of good quality that are not toxic; at most ``rows``, by hash of the id."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id): all documents of good quality that are not toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
-               pseudo_count: float = PSEUDO_COUNT, target_rows: int = TARGET_ROWS) -> np.ndarray:
+               pseudo_count: float = PSEUDO_COUNT) -> np.ndarray:
     """log(target probability / corpus probability) of each n-gram bucket.
 
     Both multinomials get ``pseudo_count`` n-grams a bucket, in the target as many as fit
     its share of the corpus, so a rare n-gram's ratio is near 0 at any corpus size.
-    Without a target document all ratios are 0. The driver gets ``buckets`` rows,
-    whatever the corpus.
+    Without a target document all ratios are 0. Documents meet the labels in a join whose way the
+    optimizer chooses by size. The driver gets ``buckets`` rows, whatever the corpus.
     """
-    ids = target_ids(labels, target_rows).withColumn("is_target", F.lit(True))
-    marked = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+    ids = target_ids(labels).withColumn("is_target", F.lit(True))
+    marked = (docs.select("doc_id", "text").join(ids, "doc_id", "left")
               .select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")))
     found = ngram_counts(marked, buckets).toArrow()
     n, target = np.zeros(buckets), np.zeros(buckets)
@@ -130,13 +128,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
 
 
 def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
-          pseudo_count: float = PSEUDO_COUNT, target_rows: int = TARGET_ROWS) -> DataFrame:
+          pseudo_count: float = PSEUDO_COUNT) -> DataFrame:
     """The rows of ``df`` with the counts of the rules, ``score``, ``base_failed`` and ``kept``.
 
     ``score`` is the mean, over a text's words and pairs of words, of the log ratio of
     their hashed n-gram's probability in a trusted target to that in the whole corpus.
-    The target are labelled documents of good quality, at most ``target_rows`` of them
-    (by hash of their id); the corpus counts cover every row of ``df``. A document is kept
+    The target are all rows labelled as of good quality and not as toxic; the corpus
+    counts cover every row of ``df``. A document is kept
     if the base rules pass and ``score >= threshold``: no randomness, the same at any size.
 
     Base rules: fewer than 10 words fail; more than 20 % of the words in 5-word windows
@@ -148,7 +146,7 @@ def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bucket
     """
     spark = df.sparkSession
     small_batches(spark)
-    ratios = spark.sparkContext.broadcast(log_ratios(df, labels, buckets, pseudo_count, target_rows))
+    ratios = spark.sparkContext.broadcast(log_ratios(df, labels, buckets, pseudo_count))
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
     rows = df.select(*others(df, *made, "base_failed", "kept"))
     names = rows.columns

@@ -194,27 +194,30 @@ def _children(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, body, fp, component_id) of every row.
+    """(doc_id, body, fp, component_id, root) of every row.
 
     Rows are linked if their fingerprints differ in ``max_bits`` bits or fewer;
     ``component_id`` is the smallest ``doc_id`` that a row reaches over links, its own
-    included. Only distinct fingerprints are indexed, so copies of one text cost one
+    included, and ``root`` the smallest fingerprint, which names a component also where ids repeat. Only distinct
+    fingerprints are indexed, so copies of one text cost one
     code, however many there are. Texts without a word have fingerprint 0 and are linked
     like any other. A null ``doc_id`` is never a component's id unless all its rows have
-    none (then null). Repeated rows stay, in one component. Empty table: empty.
+    none (then null). Repeated rows stay, in one component. Very long texts are read in chunks. Empty table: empty.
+    Other columns are ignored.
 
     Runs jobs when called: fingerprints are written once, then each round of the
     components.
     """
     prints = materialize(fingerprints(df, shingle), "fingerprints")
     roots = components(link_codes(prints.select("fp").distinct(), max_bits))
-    owned = (
+    owned = materialize(
         prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
         .join(roots, F.col("fp") == F.col("node"), "left")
-        .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = owned.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "body", "fp", "component_id")
+        .select("fp", "least", F.coalesce("root", "fp").alias("root")), "components")
+    # Written, so that the join below reads both sides from a shuffle and a hot root can be split.
+    ids = materialize(owned.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    named = owned.join(ids, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "body", "fp", "component_id", "root")
 
 
 def hex16(c: Column) -> Column:

@@ -23,6 +23,8 @@ from tools.check import compare, duck
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+TABLES = {"op2": ("pages", "page_id"), "op10": ("pages", "page_id"), "op11": ("conversations", "conv_id"),
+          "op12": ("embeddings", "vec_id"), "op13": ("embeddings", "vec_id")}
 
 
 @pytest.fixture(scope="module")
@@ -117,9 +119,10 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_covers_its_table(spark, name):
-    table = "pages" if name.startswith(("op2_", "op10_")) else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
+    table, key = TABLES.get(name.split("_")[0], ("documents", "doc_id"))
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    if name.startswith("op12_"):
+        key, ids = "query_id", {i for i in ids if i % 50 == 0}
     assert {r[key] for r in QUERIES[name](spark, SF).collect()} == ids
 
 
@@ -161,6 +164,41 @@ def test_near_dedup_stage_leaves_one_of_each_group(spark, docs):
         [(1, prose(1)), (7, prose(50)), (0, prose(80)), (8, "")])
 
 
+def test_near_dedup_stage_keeps_unrelated_texts_of_one_id(spark, docs):
+    """Also where copies of them have larger ids, and beside rows and columns that repeat."""
+    rows = [(5, prose(1)), (5, prose(50)), (8, prose(50)), (9, prose(50)), (6, prose(1)), (None, prose(70)), (3, prose(70)),
+            (4, prose(20, 3000)), (4, prose(20, 3000))]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    got = stage(spark, docs(rows, ["body", "root", "_id"]), SF)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(
+        [(5, prose(1)), (5, prose(50)), (3, prose(70)), (4, prose(20, 3000))])
+    assert got.columns == docs(rows, ["body", "root", "_id"]).columns
+
+
+def test_stages_of_an_empty_table(spark, docs):
+    table = docs([], ["score", "kept", "n_lines", "item_ids"])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, SF)
+        assert out.collect() == []
+        assert name == "packing" or out.columns == table.columns
+
+
+def test_stages_bear_odd_rows(spark, docs):
+    table = docs(ODD_TEXTS, ["score", "body", "n_dropped", "contaminated", "component_id"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns
+        kept = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "benchmark_decontamination":
+            assert kept == Counter(ODD_TEXTS)
+        elif name == "line_dedup":
+            assert sum(kept.values()) == len(ODD_TEXTS)
+        elif name == "quality_rules":
+            assert not (set(kept) - set(ODD_TEXTS)) and (5, "one") not in kept
+        else:
+            assert max(kept.values()) == 1 and {i for i, _ in kept} >= {1, 6, 8, 9}
+
+
 def test_the_rest_imports_without_this_folder(tmp_path):
     for name in ("__spark_entry__.py", "surtido"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else (tmp_path / name).mkdir()

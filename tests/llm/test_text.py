@@ -1,5 +1,6 @@
 """Quality rules, classifier, URL filters, HTML extraction and decontamination."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -60,6 +61,30 @@ def test_ratio_parts_junk_from_the_target(docs, labels):
     assert not any(got[i].kept for i, _ in junk)
 
 
+def test_ratios_equal_plain_counts(docs, labels):
+    """The score of every text from counts of its words and pairs, by no hash; all good labels count."""
+    rows = [(i, prose(i, 20 + i % 50, 20)) for i in range(80)]  # few n-grams, so that no two share a bucket
+    rows += [(200 + i, t) for i, (k, t) in enumerate(ODD_TEXTS) if k != 8]
+    rows += [(3, prose(500, 30, 20))]  # an id of two rows
+    known = [(i, int(i % 3 > 0)) for i in range(0, 120, 2)] * 2 + [(None, 1)]
+
+    def grams(text):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+        return w + list(zip(w, w[1:]))
+
+    good = {i for i, q in known if q == 1}
+    corpus, target = Counter(), Counter()
+    for i, t in rows:
+        corpus.update(grams(t))
+        target.update(grams(t) if i in good else [])
+    share = sum(target.values()) / sum(corpus.values())
+    ratio = {g: math.log(target[g] / share + 30) - math.log(n + 30) for g, n in corpus.items()}
+    got = judge(docs(rows), labels(known), buckets=1 << 22).collect()
+    want = Counter((i, round(sum(ratio[g] for g in grams(t)) / max(1, len(grams(t))), 9)) for i, t in rows)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.score >= -0.2) for r in got)
+
+
 def test_rules_without_labels_or_rows(docs, labels):
     assert {r.score for r in judge(docs(LINES), labels([])).collect()} == {0.0}
     assert judge(docs([]), labels([(1, 1)])).collect() == []
