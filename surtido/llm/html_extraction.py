@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,13 +39,19 @@ UNLIKELY = re.compile(
     r"(?:^|[_-])(?:ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|"
     r"footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|"
     r"pager|pagination|popup|promo\w*|related|share|sharing|sidebar|signup|skip|"
-    r"social|sponsor\w*|subscribe|taboola|toolbar|widget|alert|complementary|contentinfo|search)(?:$|[_-])"
+    r"social|sponsor\w*|subscribe|taboola|toolbar|widget|alert|alertdialog|dialog|complementary|contentinfo|"
+    r"search)(?:$|[_-])"
     r"|^(?:(?:site|top|global)[_-])?header$", re.I)
 COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[_-])", re.I)
 COMMENT = re.compile(r"^(?:comments?|comment[_-](?:body|content|text)|reply|replies)$", re.I)
 # Names that tell how a box is laid out or set, not what is in it
 LAYOUT = re.compile(r"^(?:has|no|not|with|without|is|hide|show)[_-]"
                     r"|[_-](?:container|wrapper|wrap|layout|inner|open|closed|enabled|disabled|active)$", re.I)
+# What tells the items of a discussion: when, by whom, and what one may do
+AUTHORED = re.compile(r"(?:^|[\s_-])(?:author|avatar|byline|nick(?:name)?|poster|user(?:name)?)(?:$|[\s_-])", re.I)
+DATED = re.compile(r"(?:^|[\s_-])(?:ago|date|posted|time|timestamp)(?:$|[\s_-])", re.I)
+DATES = re.compile(r"\b(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}:\d{2}|\d+ \w+ ago|ago|il y a|vor|hace)\b", re.I)
+ANSWERS = re.compile(r"^\W*(?:reply|respond|report|quote|upvote|like|répondre|signaler|antworten|melden|responder)\W*$", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
@@ -58,6 +65,9 @@ BLANK = re.compile(r"\s+")
 MIN_LENGTH = 25       # characters of a paragraph that gives points
 SIBLING_SHARE = 0.2   # of the best score, and the least score of a sibling that is kept
 SIBLING_LENGTH = 80
+WHOLE_SHARE = 0.9     # of the page's points that the article has at least
+LINKED_SHARE = 0.4    # of a box's text in links; beyond it is a list of links
+MARK_LENGTH = 60      # characters of a text that says who, when or what to do
 
 
 @dataclass(eq=False)
@@ -141,18 +151,24 @@ def _block(node: Node) -> Node:
     return node
 
 
+WRAPPERS = frozenset(["form", "fieldset"])  # tags that may hold a whole page
+
+
 def prune(root: Node) -> None:
     """Take out what is never part of an article: menus, notices, adverts, forms, comments.
 
-    Names of layout boxes often hold such words: a box that holds the article, or most of
-    the page's text, stays.
+    Names of layout boxes often hold such words, and some pages are one form: a box that holds the
+    article, or most of the page's text, stays.
     """
-    _drop(root, lambda c: c.hidden or _comments(c) or c.tag in DROPPED and not (
+    _drop(root, lambda c: c.hidden or _comments(c) or c.tag in DROPPED and c.tag not in WRAPPERS and not (
         c.tag == "header" and _within_article(c)))
-    named = _drop(root, _unlikely, False)
+    named = _drop(root, lambda c: c.tag in WRAPPERS or _unlikely(c), False)
     if named:
         holders = _holders(root)
         _drop(root, lambda c: c in named and c not in holders)
+    threads = _threads(root)
+    if threads:
+        _drop(root, lambda c: c in threads)
 
 
 def _drop(root: Node, unlikely: Callable[[Node], bool], out: bool = True) -> set[Node]:
@@ -190,6 +206,46 @@ def _comments(node: Node) -> bool:
     return True
 
 
+def _threads(root: Node) -> set[Node]:
+    """Discussions, told by their structure: items alike that each say who wrote, when, or how to answer.
+
+    They are none if nothing of the page is left without them, as on a page that is one.
+    """
+    boxes = defaultdict(list)
+    order = [n for n in lengths(root)]
+    for node in order:
+        if node.parent is not None and node.tag in ("div", "li", "article", "section", "tr", "dd", "blockquote"):
+            boxes[node.parent, node.tag, node.names.split()[0] if node.names else ""].append(node)
+    found: set[Node] = set()
+    for items in boxes.values():
+        if len(items) >= 2 and sum(_is_post(i) for i in items) * 4 >= 3 * len(items):
+            found |= set(items)
+    points = _subtree_points(root)
+    told = sum(points[n] for n in found if not any(a in found for a in _ancestors(n.parent)))
+    left = points[root] - told
+    return found if found and left >= 1 else set()
+
+
+def _is_post(node: Node) -> bool:
+    """Whether a box has text, and two marks of a post: its writer, its date, a way to answer."""
+    writer = date = answer = prose = False
+    stack = [node]
+    while stack:
+        here = stack.pop()
+        texts = [c.strip() for c in here.children if isinstance(c, str) and c.strip()]
+        short = sum(map(len, texts)) <= MARK_LENGTH
+        if here is not node and short:
+            writer = writer or bool(AUTHORED.search(here.names))
+            date = date or here.tag == "time" or bool(DATED.search(here.names))
+        if short:
+            date = date or any(DATES.search(t) for t in texts)
+            answer = answer or here.tag in ("a", "span", "button", "div") and any(ANSWERS.match(t) for t in texts)
+        prose = prose or not short
+        stack += [c for c in here.children if isinstance(c, Node)]
+    return writer + date + answer >= 2 and not any(
+        isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children)
+
+
 def _unlikely(node: Node) -> bool:
     if not node.names or node.tag in ("html", "body", "article", "main") or LIKELY.search(node.names):
         return False
@@ -204,18 +260,24 @@ def _holders(root: Node) -> set[Node]:
 
     The article or main with most points is the article, if it has a quarter of all.
     """
+    points = _subtree_points(root)
+    articles = [n for n in points if n.tag in ("article", "main")]
+    best = max(articles, key=points.get, default=None)
+    if best is not None and points[best] > 0 and points[best] * 4 >= points[root]:
+        return set(_ancestors(best))
+    return {n for n in points if points[n] * 2 > points[root]}
+
+
+def _subtree_points(root: Node) -> dict[Node, float]:
+    """The points of all paragraphs within each node, children first."""
     sizes = lengths(root)
     points = dict.fromkeys(sizes, 0.0)
-    for node, (total, linked, commas) in sizes.items():  # children first
+    for node, (total, linked, commas) in sizes.items():
         if node.tag in PARAGRAPHS and total - linked >= MIN_LENGTH:
             points[node] = max(points[node], _points(total, linked, commas))
         if node.parent is not None and node is not root:
             points[node.parent] += points[node]
-    articles = [n for n in sizes if n.tag in ("article", "main")]
-    best = max(articles, key=points.get, default=None)
-    if best is not None and points[best] > 0 and points[best] * 4 >= points[root]:
-        return set(_ancestors(best))
-    return {n for n in sizes if points[n] * 2 > points[root]}
+    return points
 
 
 def _within_article(node: Node) -> bool:
@@ -278,7 +340,12 @@ def score(root: Node, sizes: dict[Node, tuple[int, int, int]]) -> list[Node]:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to it, in page order."""
+    """The best container and those of its siblings that belong to it, in page order.
+
+    Where the best has less than ``WHOLE_SHARE`` of the page's points, its article lies in several boxes: the
+    lowest box around it that has as much is taken, less its lists of links and boxes without a point. A title in a
+    box of its own comes along.
+    """
     sizes = lengths(root)
     scored = score(root, sizes)
     if not scored:
@@ -289,11 +356,54 @@ def main_nodes(root: Node) -> list[Node]:
     best = inside[-1] if inside else best  # an article is one container, also with sections in it
     if best.parent is None:
         return [best]
-    least = max(10.0, SIBLING_SHARE * best.score)
-    return [c for c in best.parent.children if isinstance(c, Node) and (
-        c is best or c.score >= least or c.tag == best.tag == "article"
-        or c.tag in ("p", "h1") and sizes[c][0] - sizes[c][1] >= (1 if c.tag == "h1" else SIBLING_LENGTH)
-        and sizes[c][1] <= sizes[c][0] // 4)]
+    points = _subtree_points(root)
+    whole = best
+    if not inside:
+        whole = next(n for n in _ancestors(best) if points[n] >= WHOLE_SHARE * points[root])
+    if whole is not best:
+        kept = _sound_parts(whole, best, points, sizes)
+    else:
+        least = max(10.0, SIBLING_SHARE * best.score)
+        kept = [c for c in best.parent.children if isinstance(c, Node) and (
+            c is best or c.score >= least or c.tag == best.tag == "article"
+            or c.tag in ("p", "h1") and sizes[c][0] - sizes[c][1] >= (1 if c.tag == "h1" else SIBLING_LENGTH)
+            and sizes[c][1] <= sizes[c][0] // 4)]
+    return _with_title(kept, whole, sizes)
+
+
+def _sound_parts(whole: Node, best: Node, points: dict, sizes: dict) -> list[Node]:
+    """The children of a box that hold text of the article; boxes around the best are looked into."""
+    around, kept, stack = set(_ancestors(best.parent)), [], [whole]
+    while stack:
+        node = stack.pop()
+        if node is whole or node in around:
+            stack += reversed([c for c in node.children if isinstance(c, Node)])
+            continue
+        total, linked, _ = sizes[node]
+        if node is best or total and linked <= LINKED_SHARE * total and (points[node] > 0 or node.tag in PARAGRAPHS):
+            kept.append(node)
+    return kept
+
+
+def _with_title(kept: list[Node], whole: Node, sizes: dict) -> list[Node]:
+    """``kept``, led by the page's title where that stands in a box beside or above it."""
+    chosen, order = set(kept), _page_order(whole)
+    if any(n.tag == "h1" and any(a in chosen for a in _ancestors(n)) for n in order):
+        return kept
+    first = next((i for i, n in enumerate(order) if n in chosen), 0)
+    titles = [n for n in order[:first] if n.tag == "h1" and sizes[n][0] and sizes[n][1] * 2 < sizes[n][0]]
+    return titles[-1:] + kept
+
+
+def _page_order(node: Node) -> list[Node]:
+    """All nodes of the page that ``node`` is in, parents first."""
+    *_, root = _ancestors(node)
+    out, stack = [], [root]
+    while stack:
+        here = stack.pop()
+        out.append(here)
+        stack += reversed([c for c in here.children if isinstance(c, Node)])
+    return out
 
 
 def _ancestors(node: Node | None) -> Iterator[Node]:
