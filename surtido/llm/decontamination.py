@@ -145,8 +145,9 @@ def anchors_of(windows: DataFrame, window: int) -> DataFrame:
             (WORD, literal(i), F.get("hashes", i)),
             (SLOT, ~literal(i), F.get("slots", i)))))))
     every = windows.groupBy("h", "size").agg(F.first("hashes").alias("hashes"), F.first("slots").alias("slots"))
-    keyed = every.select("h", "size", F.inline(keys)).filter("anchor IS NOT NULL")
-    often = keyed.groupBy("anchor").agg(F.count("*").alias("often"))
+    # Both are written, so that the joins read their sides from a shuffle and a hot word can be split.
+    keyed = materialize(every.select("h", "size", F.inline(keys)).filter("anchor IS NOT NULL"), "anchor-words")
+    often = materialize(keyed.groupBy("anchor").agg(F.count("*").alias("often")), "anchor-counts")
     by_word = lambda c: often.select(F.col("anchor").alias(c), F.col("often").alias(f"often_{c}"))
     counted = keyed.join(often, "anchor").join(by_word("word"), "word", "left").join(by_word("next"), "next", "left")
     rarest = F.least("often_word", F.when(F.col("kind") == PAIR, F.col("often_next")))
