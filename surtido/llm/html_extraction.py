@@ -61,6 +61,7 @@ ATTRIBUTE = re.compile(
     r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NOTED = ("class", "id", "role", "hidden", "aria-hidden", "style", "itemprop")
 BLANK = re.compile(r"\s+")
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")  # but not as the end of a bare value
 
 MIN_LENGTH = 25       # characters of a paragraph that gives points
 SIBLING_SHARE = 0.2   # of the best score, and the least score of a sibling that is kept
@@ -130,7 +131,7 @@ def parse(page: str) -> Node:
                      "hidden" in extra or extra.get("aria-hidden") == "true"
                      or "display:none" in extra.get("style", "").replace(" ", "").lower())
         node.children.append(child)
-        if tag not in VOID and not token[3].endswith("/"):
+        if tag not in VOID and not CLOSED.search(token[3]):
             node = child
     return root
 
