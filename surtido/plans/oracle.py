@@ -625,6 +625,15 @@ add("compliance_summary", COMPLIANCE, f"""SELECT count(*) AS total_tiendas,
 add("compliance_alerts", COMPLIANCE, """SELECT tienda_id::BIGINT AS tienda_id, tienda_nombre,
   pct_proyeccion FROM comp WHERE pct_proyeccion < 80""")
 
+add("compliance_tiers_check", f"{compliance_daily()}, {STORE_SUMMARY}", """SELECT count(*) AS tiendas,
+  least(4, count(*)) AS grupos, true AS en_orden, true AS cerca_del_suyo FROM ss""")
+add("compliance_report_check", COMPLIANCE, f"""SELECT
+  row_number() OVER (ORDER BY pct_cumplimiento_cop DESC, tienda_id) AS ranking, tienda_id::BIGINT AS tienda_id,
+  tienda_nombre, ciudad, region, formato, tendencia, slope, {rnd("ventas_cop_total")} AS ventas_cop,
+  {rnd("meta_cop_total")} AS meta_cop, pct_cumplimiento_cop, pct_cumplimiento_und, pct_semanal, pct_mensual,
+  proyeccion_cop, meta_mensual_cop, pct_proyeccion, ticket_promedio, dias_sobre_meta, pct_dias_sobre_meta,
+  mejor_dia_cop, true AS con_tier, true AS con_marca FROM comp""")
+
 # --- baskets ---------------------------------------------------------------------------
 add("basket_pairs", RECEIPTS, "SELECT a, b, f AS canastas FROM two")
 add("basket_rules", RULES, "SELECT * FROM rules", "soporte confianza lift")
@@ -702,6 +711,8 @@ add("predict_check", "", """SELECT count(DISTINCT (sku_id, tienda_id, dia)) AS f
   true AS sin_negativos, true AS mejor_que_la_media FROM bsale""")
 add("store_segments_check", STORE_ROLLUP, """SELECT count(*)::BIGINT AS tiendas, true AS varios,
   true AS en_orden FROM srol""")
+add("store_segments_simple_check", STORE_ROLLUP, """SELECT count(*) AS tiendas, least(3, count(*)) AS grupos,
+  true AS en_orden, true AS cerca_del_suyo FROM srol""")
 add("eoq_of_sku", EOQ, "SELECT sku_id, tienda_id, eoq FROM eoqr WHERE sku_id = '17'")
 
 # --- loads and streams -----------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surtido.functions.exprs import classify, clip, guarded_div, high_season, rnd
-from surtido.functions.labels import ROTATION_DEFAULT, ROTATION_LADDER
+from surtido.functions.labels import ROTATION_DEFAULT, ROTATION_LADDER, TIER_FEATURES, TIERS
 from surtido.operators import (
     aggregates as agg,
     anomalies as anm,
@@ -508,6 +508,41 @@ def store_segments(spark, d):
                                   td.stores(spark, d)).drop("cluster")
 
 
+def _settled_clusters(rows, features, label, rank_by, names):
+    """What holds for k-means clusters: names in order of their means, every row nearest to its own mean.
+
+    Recomputed with plain aggregates from the rows' features and names alone.
+    """
+    value = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    z = [(v - F.avg(v).over(Window.partitionBy())) / F.stddev(v).over(Window.partitionBy()) for v in value]
+    z = rows.select(label, F.col(rank_by).alias("rank_by"), *[c.alias(f"z{i}") for i, c in enumerate(z)])  # a row a store
+    means = z.groupBy(label).agg(F.avg("rank_by").alias("by"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(len(value))])
+    found = {r[label]: r for r in means.collect()}  # one row a cluster
+
+    def away(r):
+        return sum((F.col(f"z{i}") - F.lit(r[f"m{i}"])) ** 2 for i in range(len(value)))
+
+    own = F.coalesce(*[F.when(F.col(label) == name, away(r)) for name, r in found.items()])
+    least = F.least(*[away(r) for r in found.values()], F.lit(float("inf")))
+    by_rank = sorted(found, key=lambda name: -found[name]["by"])
+    return z.agg(F.count("*").alias("tiendas"), F.lit(len(found)).cast("bigint").alias("grupos"),
+                 F.lit(by_rank == [n for n in names if n in found]).alias("en_orden"),
+                 F.bool_and(own <= least + 1e-3).alias("cerca_del_suyo"))
+
+
+@query
+def compliance_tiers_check(spark, d):
+    return _settled_clusters(cmp.compliance_tiers(_store_summary(spark, d)), TIER_FEATURES, "tier",
+                             "pct_cumplimiento_cop", TIERS)
+
+
+@query
+def store_segments_simple_check(spark, d):
+    return _settled_clusters(seg.store_segmentation_simple(td.transactions(spark, d)),
+                             ("ventas_totales", "venta_promedio", "num_skus"), "segmento_tienda", "ventas_totales",
+                             [f"Tienda Tipo {i}" for i in (1, 2, 3)])
+
+
 @query
 def store_segments_simple(spark, d):
     return seg.store_segmentation_simple(td.transactions(spark, d))
@@ -589,6 +624,17 @@ def compliance_report(spark, d):
     return _compliance_full(spark, d).tiendas
 
 
+@query
+def compliance_report_check(spark, d):
+    """The full report less what the models name: ranking, figures and one tier and flag a store."""
+    rows = _compliance_full(spark, d).tiendas
+    return rows.select(
+        "ranking", "tienda_id", "tienda_nombre", "ciudad", "region", "formato", "tendencia", "slope", "ventas_cop", "meta_cop",
+        "pct_cumplimiento_cop", "pct_cumplimiento_und", "pct_semanal", "pct_mensual", "proyeccion_cop",
+        "meta_mensual_cop", "pct_proyeccion", "ticket_promedio", "dias_sobre_meta", "pct_dias_sobre_meta",
+        "mejor_dia_cop", F.col("tier").isin(list(TIERS)).alias("con_tier"), F.col("es_anomalia").isNotNull().alias("con_marca"))
+
+
 @query
 def compliance_executive(spark, d):
     return _compliance_full(spark, d).resumen_ejecutivo.drop("distribucion_tiers")
