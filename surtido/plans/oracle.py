@@ -705,6 +705,9 @@ add("without_forecast", daily("d1", "sale", "sku_id"), """SELECT sku_id, count(*
   'menos de dos días con venta' AS motivo FROM d1 GROUP BY 1 HAVING count(*) < 2""")
 add("anomalies_check", "", """SELECT count(*) AS filas, count(DISTINCT (sku_id, tienda_id)) AS pares,
   true AS hasta_un_decimo, true AS alguna, true AS con_nombre, true AS en_rango FROM inv""")
+add("anomaly_types_check", "", "SELECT true AS suman, true AS distintas, true AS sin_normales")
+add("compliance_anomalies_check", f"{compliance_daily()}, {STORE_SUMMARY}",
+    "SELECT count(*) AS tiendas, true AS hasta_su_parte, true AS en_rango FROM ss")
 add("predict_check", "", """SELECT count(DISTINCT (sku_id, tienda_id, dia)) AS filas,
   count(DISTINCT (sku_id, tienda_id, dia)) AS claves,
   sum(5 + 4 * month(dia) + 3 * (isodow(dia) - 1))::DOUBLE AS cantidad_real,

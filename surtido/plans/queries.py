@@ -646,6 +646,14 @@ def compliance_anomalies(spark, d):
         "tienda_id", "es_anomalia", "score_anomalia")
 
 
+@query
+def compliance_anomalies_check(spark, d):
+    """What must hold for any forest: a row a store, the share flagged, scores in range."""
+    return cmp.anomalous_stores(_store_summary(spark, d)).agg(
+        F.count("*").alias("tiendas"), (F.count_if("es_anomalia") <= 0.15 * F.count("*") + 1).alias("hasta_su_parte"),
+        F.bool_and(F.col("score_anomalia").between(-1.0, 0.0)).alias("en_rango"))
+
+
 # --- baskets ---------------------------------------------------------------------------
 
 @query
@@ -703,6 +711,17 @@ def anomaly_types(spark, d):
         anm.inventory_anomalies(td.inventory(spark, d), td.transactions(spark, d)))
 
 
+@query
+def anomaly_types_check(spark, d):
+    """The flagged rows by type add up to the flagged rows, and no group is of normal ones."""
+    found = materialize(anm.inventory_anomalies(td.inventory(spark, d), td.transactions(spark, d)), "anomalies")
+    types = reports.anomaly_groups(found)
+    flagged = found.agg(F.count_if("es_anomalia")).first()[0]
+    return types.agg(
+        (F.sum("cantidad") == flagged).alias("suman"), (F.count("*") == F.count_distinct("etiqueta")).alias("distintas"),
+        F.bool_and(F.col("etiqueta") != "Normal").alias("sin_normales"))
+
+
 @query
 def risk_stats(spark, d):
     return rsk.risk_stats(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
