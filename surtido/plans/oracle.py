@@ -701,6 +701,12 @@ add("predict_features", BDAILY, f"""SELECT sku_id, tienda_id, fecha::VARCHAR AS
 add("forecast_check", daily("d1", "bsale", "sku_id"), """SELECT (30 * count(*))::BIGINT AS filas,
   count(*) AS skus, true AS minima_debajo, true AS maxima_encima, true AS sin_negativos
   FROM (SELECT sku_id FROM d1 GROUP BY 1 HAVING count(*) >= 2)""")
+add("forecast_parts_check", daily("d1", "sale", "sku_id"), """SELECT count(*) AS skus, sum(n)::BIGINT AS dias,
+  sum(u)::DOUBLE AS unidades, true AS ecuaciones, (30 * count(*))::BIGINT AS filas, true AS del_ajuste,
+  true AS dias_siguientes
+  FROM (SELECT sku_id, count(*) AS n, sum(cantidad) AS u FROM d1 GROUP BY 1 HAVING count(*) >= 2)""")
+add("forecast_totals_check", daily("d1", "bsale", "sku_id"), """SELECT count(*) AS skus, count(*) AS resumen,
+  true AS suman, true AS tabla FROM (SELECT sku_id FROM d1 GROUP BY 1 HAVING count(*) >= 2)""")
 add("without_forecast", daily("d1", "sale", "sku_id"), """SELECT sku_id, count(*) AS dias,
   'menos de dos días con venta' AS motivo FROM d1 GROUP BY 1 HAVING count(*) < 2""")
 add("anomalies_check", "", """SELECT count(*) AS filas, count(DISTINCT (sku_id, tienda_id)) AS pares,

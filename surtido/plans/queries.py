@@ -7,6 +7,7 @@ are given as text, so that results compare across engines.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
 from functools import wraps
 
@@ -783,6 +784,58 @@ def forecast_check(spark, d):
         (F.min("demanda_minima") >= 0).alias("sin_negativos"))
 
 
+@query
+def forecast_parts_check(spark, d):
+    """Forecasts of every part: the normal equations hold for each column, and the days follow from the fit.
+
+    Recomputed in columns from each part's daily series and its coefficients alone.
+    """
+    tx = td.transactions(spark, d)
+    fits = materialize(fct.fit_demand(tx), "fits")
+    day = F.unix_date("fecha").cast("double")
+    span = F.greatest(F.col("fin") - F.col("inicio"), F.lit(1))
+    columns = [F.lit(1.0), (day - F.col("inicio")) / span]
+    for period, order in ((365.25, 10), (7, 3)):
+        for k in range(1, order + 1):
+            columns += [F.sin(day * (2 * math.pi * k / period)), F.cos(day * (2 * math.pi * k / period))]
+    rows = agg.daily_series(tx, ("sku_id",)).join(fits, "sku_id").select(
+        "sku_id", "coeficientes", "cantidad", F.array(*columns).alias("x"))
+    dot = F.aggregate(F.zip_with("x", "coeficientes", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    rows = rows.withColumn("residuo", F.col("cantidad") - dot)
+    told = rows.groupBy("sku_id").agg(
+        F.count("*").alias("dias"), F.sum("cantidad").alias("unidades"), F.first("coeficientes").alias("b"),
+        F.array(*[F.sum(F.get("x", F.lit(i)) * F.col("residuo")) for i in range(len(columns))]).alias("productos"))
+    penalty = F.array(*[F.lit(1e-8 if i < 2 else 1.0) for i in range(len(columns))])
+    gap = F.array_max(F.transform(F.arrays_zip("productos", "b", penalty.alias("p")), lambda r: F.abs(
+        r["productos"] - r["b"] * r["p"])))
+    sound = told.agg(
+        F.count("*").alias("skus"), F.sum("dias").alias("dias"), F.sum("unidades").alias("unidades"),
+        F.bool_and(gap <= 1e-6 * (1 + F.col("unidades"))).alias("ecuaciones"))
+    made = fct.forecast_demand(tx).join(fits, "sku_id")
+    value = F.greatest(fct.fitted_value(F.unix_date("fecha").cast("double")), F.lit(0.0))
+    follows = made.agg(F.count("*").alias("filas"),
+                       F.bool_and(F.abs(F.col("demanda_estimada") - value) <= 0.00501).alias("del_ajuste"),
+                       F.bool_and(F.unix_date("fecha").between(F.col("fin") + 1, F.col("fin") + 30)).alias("dias_siguientes"))
+    return sound.select("*", *[follows.select(c).scalar().alias(c) for c in follows.columns])
+
+
+@query
+def forecast_totals_check(spark, d):
+    """Totals by SKU, the ten largest and the wide table hold the forecast's own sums."""
+    found = materialize(fct.forecast_demand(td.transactions(spark, d, "brand")), "forecast")
+    totals, summary = reports.forecast_totals(found, n=1000), fct.forecast_summary(found)
+    skus = [r["sku_id"] for r in found.select("sku_id").distinct().orderBy("sku_id").limit(5).collect()]
+    wide = reports.forecast_wide(found, skus, n_days=10_000)
+    whole = found.agg(F.sum("demanda_estimada")).first()[0]
+    five = found.where(F.col("sku_id").isin(skus)).agg(F.sum("demanda_estimada")).first()[0]
+    cells = sum((F.sum(F.coalesce(F.col(f"`{s}`"), F.lit(0.0))) for s in skus), F.lit(0.0))
+    near = lambda c, x: F.abs(c - F.lit(x)) <= 0.01 * (1 + abs(x) * 1e-6)
+    return totals.agg(F.count("*").alias("skus")).select(
+        "skus", summary.agg(F.count("*")).scalar().alias("resumen"),
+        summary.agg(F.abs(F.sum("demanda_total") - whole) <= 0.01 * F.count("*") + 0.01).scalar().alias("suman"),
+        wide.agg(near(cells, five)).scalar().alias("tabla"))
+
+
 def _prediction_inputs(spark, d):
     return (td.transactions(spark, d, "brand"), td.stores(spark, d), td.catalog(spark, d, "brand"))
 
