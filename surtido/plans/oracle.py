@@ -750,3 +750,47 @@ add("stream_ingest", "", """SELECT tienda_id AS target_location_id, type, count(
 add("stream_daily_sales", STORE_DAY, """SELECT tienda_id::BIGINT AS tienda_id, fecha::VARCHAR AS fecha,
   ventas_cop, ventas_und FROM store_day
   WHERE fecha + INTERVAL 1 DAY <= (SELECT max(ts) FROM sale) - INTERVAL 2 DAY""")
+add("stream_daily_totals", STORE_DAY, """SELECT tienda_id::BIGINT AS tienda_id, fecha::VARCHAR AS fecha,
+  ventas_cop, ventas_und FROM store_day""")
+add("committed_load", "", f"""SELECT type, {LOADED}::BIGINT AS anio, count(*) AS filas,
+  sum(quantity)::DOUBLE AS unidades FROM tx GROUP BY 1, 2""")
+add("committed_log", "", """SELECT (SELECT max(dia)::VARCHAR FROM tx WHERE dia < DATE '2000-01-01') AS fecha_desde,
+  (SELECT max(dia)::VARCHAR FROM tx) AS fecha_hasta, count(*) AS transacciones, 'exitoso' AS estado
+  FROM tx WHERE dia >= DATE '2000-01-01'""")
+add("versioned_refresh", EFFICIENCY, f"""SELECT count(*) AS total,
+  {rnd("avg(indice_eficiencia)", 2)} AS promedio_eficiencia FROM eff""")
+add("bucket_update", CHANGES, """SELECT inv.tienda_id AS location_id, inv.sku_id,
+  coalesce(c.q::DOUBLE, site_qty) AS site_qty,
+  coalesce(c.d, DATE '2001-11-04')::VARCHAR AS status_date
+  FROM inv LEFT JOIN chg ON inv.tienda_id = chg.tienda_id AND inv.sku_id = chg.sku_id""")
+add("replaced_table", STORE_DAY, """SELECT tienda_id::BIGINT AS tienda_id, sum(ventas_und) AS unidades
+  FROM store_day GROUP BY 1""")
+add("appended_results", STORE_ROLLUP, """SELECT hora::BIGINT AS hora, count(*) AS tiendas,
+  sum(ventas_totales) AS ventas FROM srol, range(1, 3) r(hora) GROUP BY 1""")
+add("json_records", "", "SELECT sku_id, categoria, price AS precio, true AS con_nulos FROM cat")
+_SPAN = "unnest(range(1, 31)) AS k FROM (SELECT sku_id, max(fecha) AS last FROM d1 GROUP BY 1 HAVING count(*) >= 2)"
+add("forecast_page", daily("d1", "bsale", "sku_id"), f"""SELECT sku_id, (last + k::INTEGER)::VARCHAR AS fecha
+  FROM (SELECT sku_id, last, {_SPAN}) ORDER BY sku_id, last + k::INTEGER LIMIT 100""")
+add("forecast_of_sku", daily("d1", "sale", "sku_id"), f"""SELECT sku_id, (last + k::INTEGER)::VARCHAR AS fecha
+  FROM (SELECT sku_id, last, {_SPAN}) WHERE sku_id = '17' ORDER BY k LIMIT 10""")
+add("rotation_of_sku", ROTATION, """SELECT sku_id, tienda_id, indice_velocidad FROM rot WHERE sku_id = '17'
+  ORDER BY indice_velocidad DESC NULLS LAST, tienda_id LIMIT 1""")
+add("prediction_page", BDAILY, """SELECT sku_id, tienda_id, fecha::VARCHAR AS fecha, cantidad AS cantidad_real
+  FROM bdaily ORDER BY sku_id, tienda_id, fecha LIMIT 100""")
+add("anomaly_page_check", "", """SELECT least(count(*), 100) AS filas, count(*) >= 1010 AS marcadas,
+  true AS las_menores, count(*) AS total FROM inv""")
+add("kpis_check", RISK, """SELECT (SELECT count(*) FROM cat) AS total_skus, (SELECT count(*) FROM st) AS total_tiendas,
+  count(*) FILTER (prob_quiebre >= 40) AS alto_riesgo, true AS criticas_marcadas FROM risk""")
+add("run_all_check", f"""{BDAILY}, {STATS}, bpairs AS (SELECT sku_id, tienda_id, count(*) FILTER (sale_price > 0) AS priced
+  FROM bsale GROUP BY 1, 2), {daily("d1", "bsale", "sku_id")}""", """SELECT model, 'success' AS status,
+  n::BIGINT AS records_saved FROM (VALUES
+  ('pronosticos', (SELECT 30 * count(*) FROM (SELECT sku_id FROM d1 GROUP BY 1 HAVING count(*) >= 2))),
+  ('predicciones_lgbm', (SELECT count(*) FROM bdaily)),
+  ('anomalias_inventario', (SELECT count(*) FROM binv)),
+  ('eoq_resultados', (SELECT count(*) FROM bpairs)),
+  ('monte_carlo', (SELECT count(*) FROM stats)),
+  ('rentabilidad_sku', (SELECT count(*) FROM bpairs WHERE priced > 0)),
+  ('rotacion_sku', (SELECT count(*) FROM bpairs)),
+  ('eficiencia_reposicion', (SELECT count(*) FROM st)),
+  ('segmentacion_skus', (SELECT count(DISTINCT sku_id) FROM bsale)),
+  ('segmentacion_tiendas', (SELECT count(DISTINCT tienda_id) FROM bsale))) t(model, n)""")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -31,9 +32,10 @@ from surtido.operators import (
     segmentation as seg,
     targets as tgt,
 )
-from surtido.plans.run_all import Tables, run_all
+from surtido.plans.run_all import JOBS, Tables, run_all
 from surtido.session import materialize, new_path
 from surtido.sources import sinks, tables, testdata as td
+from surtido.sources.versioned import VersionedTable
 from surtido.streaming import ingest as stm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -964,6 +966,143 @@ def run_all_models(spark, d):
     return status.select("model", "status", "records_saved")
 
 
+NOW = dt.datetime(2002, 1, 1)
+
+
+def _loaded(spark, d) -> VersionedTable:
+    """Loaded up to a cut, then by the mark; between them a load that failed before its commit."""
+    tx = td.transactions(spark, d)
+    stored = VersionedTable(spark, new_path(spark, "transacciones"), tx.schema)
+    stored.replace(tx.where(F.col("transaction_date") < F.lit(LOAD_CUT)), NOW)
+    stored._write(tx.where(F.col("transaction_date") >= F.lit(LOAD_CUT)), "lost")
+    stored.load_later(tx, NOW)
+    stored.load_later(tx, NOW)
+    return stored
+
+
+@query
+def committed_load(spark, d):
+    return _loaded(spark, d).read().groupBy("type", F.year("transaction_date").alias("anio")).agg(
+        F.count("*").alias("filas"), F.sum("quantity").alias("unidades"))
+
+
+@query
+def committed_log(spark, d):
+    return _loaded(spark, d).log().select(
+        F.to_date("fecha_desde").alias("fecha_desde"), F.to_date("fecha_hasta").alias("fecha_hasta"),
+        "transacciones", "estado")
+
+
+@query
+def versioned_refresh(spark, d):
+    """A refresh of a result by commit records, from the rows that it replaces, then a read."""
+    result = rpl.replenishment_efficiency(td.transactions(spark, d), td.inventory(spark, d), td.stores(spark, d))
+    stored = VersionedTable(spark, new_path(spark, "eficiencia"), result.schema)
+    stored.replace(result, NOW)
+    stored.replace(stored.read(), NOW)
+    stored.release()
+    return reports.page_mean(stored.read(), "indice_eficiencia", "promedio_eficiencia")
+
+
+@query
+def bucket_update(spark, d):
+    """Returns of 2001 as new stock, in the buckets that hold their keys."""
+    stock = td.inventory(spark, d)
+    stored = VersionedTable(spark, new_path(spark, "inventarios"), stock.schema, ("location_id", "sku_id"), 32)
+    stored.replace(stock, NOW)
+    stored.update(_stock_changes(spark, d), sinks.update_inventory, NOW)
+    return stored.read().select("location_id", "sku_id", "site_qty", "status_date")
+
+
+@query
+def replaced_table(spark, d):
+    """A catalog table replaced by one of another schema."""
+    name, path = f"ventas_{uuid.uuid4().hex}", new_path(spark, "tabla")
+    daily = agg.daily_by_store(td.transactions(spark, d))
+    sinks.replace_table(daily.select("tienda_id", "fecha"), name, path)
+    sinks.replace_table(daily.groupBy("tienda_id").agg(F.sum("ventas_und").alias("unidades")), name, path)
+    return spark.table(name)
+
+
+@query
+def appended_results(spark, d):
+    """Two runs of a result, told apart by their time."""
+    path, units = new_path(spark, "pronosticos"), agg.store_rollup(td.transactions(spark, d))
+    for hour in (1, 2):
+        sinks.append_result(units.select("tienda_id", "ventas_totales"), path, dt.datetime(2002, 1, 1, hour))
+    return spark.read.parquet(path).groupBy(F.hour("fecha_generacion").alias("hora")).agg(
+        F.count("*").alias("tiendas"), F.sum("ventas_totales").alias("ventas"))
+
+
+@query
+def json_records(spark, d):
+    """Records as JSON, null fields included, read back by their names."""
+    records = sinks.as_json(tables.products(td.catalog(spark, d), limit=None))
+    get = lambda name: F.get_json_object("registro", f"$.{name}")
+    return records.select(get("sku_id").alias("sku_id"), get("categoria").alias("categoria"),
+                          get("precio").cast("double").alias("precio"),
+                          F.col("registro").contains('"departamento":null').alias("con_nulos"))
+
+
+@query
+def forecast_page(spark, d):
+    found = fct.forecast_demand(td.transactions(spark, d, "brand"))
+    return reports.get_forecasts(found, limit=100).select("sku_id", "fecha")
+
+
+@query
+def forecast_of_sku(spark, d):
+    """The first ten days of one SKU."""
+    found = fct.forecast_demand(td.transactions(spark, d))
+    return reports.get_forecasts(found, sku="17", limit=10).select("sku_id", "fecha")
+
+
+@query
+def rotation_of_sku(spark, d):
+    rows = prf.rotation(td.transactions(spark, d), td.inventory(spark, d), td.catalog(spark, d))
+    return reports.get_rotation(rows, sku="17", limit=1).select("sku_id", "tienda_id", "indice_velocidad")
+
+
+@query
+def prediction_page(spark, d):
+    """The page's keys and quantities, from a short fit; its error is over all rows."""
+    found, _ = prd.predict_demand(*_prediction_inputs(spark, d), max_iter=2)
+    return reports.get_predictions(found, limit=100).select("sku_id", "tienda_id", "fecha", "cantidad_real")
+
+
+@query
+def anomaly_page_check(spark, d):
+    """The page has the lowest scores: none beyond it is lower than its highest."""
+    found = materialize(anm.inventory_anomalies(td.inventory(spark, d), td.transactions(spark, d)), "anomalies")
+    page = materialize(reports.get_anomalies(found, limit=100), "page")
+    last = page.agg(F.max("score_anomalia")).first()[0]
+    total = reports.critical_count(found)
+    return page.agg(F.count("*").alias("filas"), F.bool_and("es_anomalia").alias("marcadas")).select(
+        "*", (found.where(F.col("score_anomalia") < last).agg(F.count("*")).scalar() < 100).alias("las_menores"),
+        total.select("total").scalar().alias("total"))
+
+
+@query
+def kpis_check(spark, d):
+    """The dashboard's numbers; of the forest's only that they are a part of the flags."""
+    found = materialize(anm.inventory_anomalies(td.inventory(spark, d), td.transactions(spark, d)), "anomalies")
+    risk = rsk.stockout_risk(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
+    numbers = reports.kpis(td.catalog(spark, d), td.stores(spark, d), found, risk)
+    flagged = found.agg(F.count_if("es_anomalia")).first()[0]
+    return numbers.select("total_skus", "total_tiendas", "alto_riesgo",
+                          F.col("criticas").between(0, flagged).alias("criticas_marcadas"))
+
+
+@query
+def run_all_check(spark, d):
+    """Statuses and row counts of all jobs whose counts follow from the data."""
+    base = Tables(td.transactions(spark, d, "brand"), td.catalog(spark, d, "brand"),
+                  td.stores(spark, d), td.inventory(spark, d, "brand"))
+    jobs = [job for job in JOBS if job != "market_basket"]
+    status = run_all(spark, base, new_path(spark, "resultados"), jobs, {"predicciones_lgbm": {"max_iter": 2}})
+    return status.select("model", "status", "records_saved")
+
+
 def _line_stream(spark, d):
     schema = td.table(spark, d, "lineitem").schema
     lines = stm.transaction_stream(spark, d, schema, "lineitem.parquet")
@@ -985,3 +1124,13 @@ def stream_daily_sales(spark, d):
     q = stm.write_daily_sales(_line_stream(spark, d), target, new_path(spark, "stream-checkpoint"))
     q.awaitTermination()
     return spark.read.parquet(target)
+
+
+@query
+def stream_daily_totals(spark, d):
+    """Daily sums by batch, gathered once, then a batch that comes again: every day is there, the last ones too."""
+    days = stm.daily_table(spark, new_path(spark, "stream-days"))
+    stm.add_daily_sales(_line_stream(spark, d), days, new_path(spark, "stream-checkpoint"), lambda: NOW).awaitTermination()
+    days.compact(NOW, stm.merge_days)
+    days.append(stm.day_sums(td.transactions(spark, d)), NOW, batch=0)
+    return stm.daily_totals(days.read())
