@@ -14,9 +14,11 @@ from surtido.llm.wordspans import (
     Words, chunks, covered, find_words, mix, span_hashes, string_buffers, sums_by_text, windows,
     word_hashes,
 )
+from surtido.session import materialize
 
 BUCKETS = 1 << 18
 PSEUDO_COUNT = 30.0      # corpus n-grams added to each bucket
+SENT_WORDS = 1_000_000   # words of 64 ids each, of the labelled target, that are sent to all tasks
 THRESHOLD = -0.2         # log ratio an n-gram; below it a document goes
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
@@ -100,9 +102,22 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def target_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id): all documents of good quality that are not toxic."""
-    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, is_target): whether a document is labelled as of good quality and not as toxic.
+
+    The target's ids are kept as bits, 64 ids a word. Up to ``SENT_WORDS`` words are sent to all
+    tasks, and no text is shuffled; beyond, the optimizer joins documents and words by size.
+    """
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
+    bit = F.col("doc_id").bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    words = materialize(
+        good.select(F.shiftright("doc_id", 6).alias("_word"), bit).groupBy("_word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")), "target")
+    if words.count() <= SENT_WORDS:
+        words = F.broadcast(words)
+    own = F.shiftright("doc_id", 6)
+    return docs.select("doc_id", "text").join(words, own == F.col("_word"), "left").select(
+        "text", F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)).alias("is_target"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
@@ -111,13 +126,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
 
     Both multinomials get ``pseudo_count`` n-grams a bucket, in the target as many as fit
     its share of the corpus, so a rare n-gram's ratio is near 0 at any corpus size.
-    Without a target document all ratios are 0. Documents meet the labels in a join whose way the
-    optimizer chooses by size. The driver gets ``buckets`` rows, whatever the corpus.
+    Without a target document all ratios are 0. The driver gets ``buckets`` rows,
+    whatever the corpus.
     """
-    ids = target_ids(labels).withColumn("is_target", F.lit(True))
-    marked = (docs.select("doc_id", "text").join(ids, "doc_id", "left")
-              .select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")))
-    found = ngram_counts(marked, buckets).toArrow()
+    found = ngram_counts(mark_target(docs, labels), buckets).toArrow()
     n, target = np.zeros(buckets), np.zeros(buckets)
     where = found["bucket"].to_numpy()
     n[where], target[where] = found["n"].to_numpy(), found["n_target"].to_numpy()
@@ -142,7 +154,7 @@ def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bucket
 
     Null or empty text: counts and score 0, base fails. Repeated rows get the same
     verdict. No labels: every score is 0. Empty table: empty. Other columns stay; input
-    columns with the names of the made ones are replaced. Runs one job when called.
+    columns with the names of the made ones are replaced. Runs jobs when called: the target's ids are written, n-grams counted.
     """
     spark = df.sparkSession
     small_batches(spark)

@@ -85,6 +85,18 @@ def test_ratios_equal_plain_counts(docs, labels):
     assert all(r.kept == (not r.base_failed and r.score >= -0.2) for r in got)
 
 
+def test_target_is_marked_alike_by_either_join(spark, docs, labels, monkeypatch):
+    from surtido.llm import quality_rules
+
+    table = docs([(i, str(i)) for i in (-200, -64, -1, 0, 1, 63, 64, 65, 4095, 2**62, -2**63, 2**63 - 1, None)])
+    known = labels([(i, 1) for i in (-200, -1, 0, 63, 65, 2**62, -2**63, 2**63 - 1, 7, None)] + [(64, 0), (0, 1)])
+    want = {"-200", "-1", "0", "63", "65", str(2**62), str(-2**63), str(2**63 - 1)}
+    for most in (10**6, 0):
+        monkeypatch.setattr(quality_rules, "SENT_WORDS", most)
+        got = quality_rules.mark_target(table, known).collect()
+        assert {r.text for r in got if r.is_target} == want and len(got) == 13
+
+
 def test_rules_without_labels_or_rows(docs, labels):
     assert {r.score for r in judge(docs(LINES), labels([])).collect()} == {0.0}
     assert judge(docs([]), labels([(1, 1)])).collect() == []
