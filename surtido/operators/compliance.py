@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surtido.functions.exprs import as_double, non_zero, rnd
@@ -48,10 +48,9 @@ def first_known(value: str):
     return F.min_by(value, F.when(F.col(value).isNotNull(), F.col("fecha")))
 
 
-def store_summary(daily: DataFrame) -> DataFrame:
-    """One row per store. Attributes are carried, not grouped by, so a store with a
-    missing attribute stays."""
-    s = daily.groupBy("tienda_id").agg(
+def _summary_sums() -> list[Column]:
+    """Attributes are carried, not grouped by, so a store with a missing attribute stays."""
+    return [
         *[F.first(c).alias(c) for c in ("tienda_nombre", "ciudad", "region", "formato")],
         F.count("fecha").alias("dias_totales"),
         F.count_if(F.col("ventas_cop") > 0).alias("dias_con_ventas"),
@@ -62,8 +61,11 @@ def store_summary(daily: DataFrame) -> DataFrame:
         F.avg("pct_diario_cop").alias("cumplimiento_prom"),
         F.count_if(F.col("pct_diario_cop") >= 100).alias("dias_sobre_meta"),
         F.max("ventas_cop").alias("mejor_dia_cop"),
-        first_known("meta_mensual_cop").cast("double").alias("meta_mensual_cop"))
-    return s.withColumns({
+        first_known("meta_mensual_cop").cast("double").alias("meta_mensual_cop")]
+
+
+def _summary_rates(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({
         "pct_cumplimiento_cop": pct("ventas_cop_total", "meta_cop_total"),
         "pct_cumplimiento_und": pct("ventas_und_total", "meta_und_total"),
         "pct_dias_sobre_meta": pct("dias_sobre_meta", "dias_totales", 1),
@@ -71,40 +73,50 @@ def store_summary(daily: DataFrame) -> DataFrame:
     })
 
 
+def store_summary(daily: DataFrame) -> DataFrame:
+    """One row per store: sums over the period and their rates."""
+    return _summary_rates(daily.groupBy("tienda_id").agg(*_summary_sums()))
+
+
 def day_index(daily: DataFrame, key: str = "tienda_id") -> DataFrame:
     """Position 0..n-1 of each day within its store; a store has one row per calendar day."""
     w = Window.partitionBy(key).orderBy("fecha")
     return daily.withColumn("dia", F.row_number().over(w) - 1)
 
 
+def _trend_sums(y: str) -> list[Column]:
+    """Exact sums for a regression of ``y``, a percentage with two decimals, on ``dia``."""
+    v = F.coalesce(F.col(y), F.lit(0.0)).cast("decimal(20,2)")
+    x = F.col("dia").cast("decimal(10,0)")
+    return [F.count("*").cast("decimal(12,0)").alias("_n"), F.sum(x).alias("_sx"), F.sum(v).alias("_sy"),
+            F.sum(x * x).alias("_sxx"), F.sum(x * v).alias("_sxy"), F.sum(v * v).alias("_syy")]
+
+
+def _trend_rates(sums: DataFrame) -> DataFrame:
+    """``slope``, ``r2`` and ``tendencia`` in place of the sums."""
+    def spread(product: str, a: str, b: str) -> Column:
+        return (F.col("_n") * F.col(product) - F.col(a) * F.col(b)).cast("double")
+
+    s = sums.withColumns({"_xy": spread("_sxy", "_sx", "_sy"), "_xx": spread("_sxx", "_sx", "_sx"),
+                          "_yy": spread("_syy", "_sy", "_sy")})
+    fit = F.when(F.col("_yy") == 0, F.lit(1.0)).otherwise(
+        F.col("_xy") * F.col("_xy") / non_zero(F.col("_xx") * F.col("_yy")))
+    s = s.withColumns({"_slope": F.when(F.col("_n") >= 3, F.col("_xy") / non_zero("_xx")),
+                       "_r2": F.when(F.col("_n") >= 3, fit)})
+    slope = F.col("_slope")
+    label = (F.when(slope.isNull(), TREND_NONE).when(slope > 0.5, TREND_UP)
+             .when(slope > -0.5, TREND_FLAT).otherwise(TREND_DOWN))
+    return s.withColumns({"slope": rnd("_slope", 4), "r2": rnd("_r2", 4), "tendencia": label}).drop(
+        "_n", "_sx", "_sy", "_sxx", "_sxy", "_syy", "_xy", "_xx", "_yy", "_slope", "_r2")
+
+
 def trend(daily: DataFrame, key: str = "tienda_id", y: str = "pct_diario_cop") -> DataFrame:
     """Least-squares slope and fit per store; fewer than three days give no trend.
 
     ``y`` is a percentage with two decimals, so its sums are kept exact, and the
     result does not depend on the order of the rows. A constant series fits fully.
     """
-    df = day_index(daily, key).withColumns({
-        "_y": F.coalesce(F.col(y), F.lit(0.0)).cast("decimal(20,2)"),
-        "_x": F.col("dia").cast("decimal(10,0)")})
-    s = df.groupBy(key).agg(
-        F.count("*").cast("decimal(12,0)").alias("n"), F.sum("_x").alias("sx"),
-        F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
-        F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"))
-
-    def spread(product: str, a: str, b: str):
-        return (F.col("n") * F.col(product) - F.col(a) * F.col(b)).cast("double")
-
-    s = s.select(key, "n", spread("sxy", "sx", "sy").alias("xy"), spread("sxx", "sx", "sx").alias("xx"),
-                 spread("syy", "sy", "sy").alias("yy"))
-    fit = F.when(F.col("yy") == 0, F.lit(1.0)).otherwise(
-        F.col("xy") * F.col("xy") / non_zero(F.col("xx") * F.col("yy")))
-    s = s.withColumns({"_slope": F.when(F.col("n") >= 3, F.col("xy") / non_zero("xx")),
-                       "_r2": F.when(F.col("n") >= 3, fit)})
-    slope = F.col("_slope")
-    label = (F.when(slope.isNull(), TREND_NONE).when(slope > 0.5, TREND_UP)
-             .when(slope > -0.5, TREND_FLAT).otherwise(TREND_DOWN))
-    return s.select(key, rnd("_slope", 4).alias("slope"), rnd("_r2", 4).alias("r2"),
-                    label.alias("tendencia"))
+    return _trend_rates(day_index(daily, key).groupBy(key).agg(*_trend_sums(y)))
 
 
 def projection(summary: DataFrame, as_of: dt.date) -> DataFrame:
@@ -115,56 +127,81 @@ def projection(summary: DataFrame, as_of: dt.date) -> DataFrame:
             .withColumn("pct_proyeccion", pct("proyeccion_cop", "meta_mensual_cop")))
 
 
+def _within(same: Column, value: str) -> Column:
+    return F.when(same, F.col(value))
+
+
+def _first_within(same: Column, value: str) -> Column:
+    """The earliest known value of the rows in question, by date."""
+    return F.min_by(value, F.when(same & F.col(value).isNotNull(), F.col("fecha"))).cast("double")
+
+
+def _same_week(as_of: dt.date) -> Column:
+    d, iso_year = F.lit(as_of), F.lit("YEAROFWEEK")
+    return (F.col("semana_iso") == F.weekofyear(d)) & (F.extract(iso_year, F.col("fecha")) == F.extract(iso_year, d))
+
+
+def _same_month(as_of: dt.date) -> Column:
+    return (F.col("mes") == as_of.month) & (F.col("anio") == as_of.year)
+
+
+def _part_sums(same: Column, part: str, target: str) -> list[Column]:
+    return [F.sum(_within(same, "ventas_cop")).alias(f"ventas_{part}"), _first_within(same, target).alias(f"meta_{part}")]
+
+
+def _part_summary(daily: DataFrame, same: Column, part: str, target: str, rate: str) -> DataFrame:
+    sums = daily.where(same).groupBy("tienda_id").agg(*_part_sums(F.lit(True), part, target))
+    return sums.withColumn(rate, pct(f"ventas_{part}", f"meta_{part}"))
+
+
 def week_summary(daily: DataFrame, as_of: dt.date) -> DataFrame:
     """Sales of the ISO week of ``as_of`` against that week's first target."""
-    d = F.lit(as_of)
-    iso_year = F.extract(F.lit("YEAROFWEEK"), F.col("fecha"))
-    same = ((F.col("semana_iso") == F.weekofyear(d))
-            & (iso_year == F.extract(F.lit("YEAROFWEEK"), d)))
-    s = daily.where(same).groupBy("tienda_id").agg(
-        F.sum("ventas_cop").alias("ventas_semana"),
-        first_known("meta_semanal_cop").cast("double").alias("meta_semana"))
-    return s.withColumn("pct_semanal", pct("ventas_semana", "meta_semana"))
+    return _part_summary(daily, _same_week(as_of), "semana", "meta_semanal_cop", "pct_semanal")
 
 
 def month_summary(daily: DataFrame, as_of: dt.date) -> DataFrame:
     """Sales of the month of ``as_of`` against that month's first target."""
-    same = (F.col("mes") == as_of.month) & (F.col("anio") == as_of.year)
-    s = daily.where(same).groupBy("tienda_id").agg(
-        F.sum("ventas_cop").alias("ventas_mes"),
-        first_known("meta_mensual_cop").cast("double").alias("meta_mes"))
-    return s.withColumn("pct_mensual", pct("ventas_mes", "meta_mes"))
+    return _part_summary(daily, _same_month(as_of), "mes", "meta_mensual_cop", "pct_mensual")
+
+
+QUARTERS = ("trim_q1", "trim_q2", "trim_q3", "trim_q4")
+
+
+def _quarter_rates() -> list[Column]:
+    """Compliance of each quarter, as aggregates."""
+    out = []
+    for q, name in enumerate(QUARTERS, 1):
+        here = F.col("trimestre") == q
+        out.append(pct(F.sum(_within(here, "ventas_cop")), F.sum(_within(here, "meta_diaria_cop"))).alias(name))
+    return out
 
 
 def quarter_pivot(daily: DataFrame) -> DataFrame:
     """Compliance by store with one column per quarter, in one aggregation."""
-    aggs = []
-    for q in (1, 2, 3, 4):
-        here = F.col("trimestre") == q
-        aggs.append(pct(F.sum(F.when(here, F.col("ventas_cop"))),
-                        F.sum(F.when(here, F.col("meta_diaria_cop")))).alias(f"trim_q{q}"))
-    return daily.groupBy("tienda_id").agg(*aggs)
+    return daily.groupBy("tienda_id").agg(*_quarter_rates())
 
 
-def compliance_stores(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.date,
-                      last: dt.date, as_of: dt.date) -> DataFrame:
-    """The relational part of the report: one row per store, without ranking and models.
+def store_measures(daily: DataFrame, as_of: dt.date) -> DataFrame:
+    """All that the report says of a store but ranking and models, in one pass over its days.
 
-    The daily frame is written once: its four readers need different columns, and
-    would otherwise scan the transactions once each.
+    Days are numbered within their store, and the same partitions then give the sums of the period, the week,
+    the month, the quarters and the regression in one aggregate: the days are shuffled once and
+    joined with nothing.
     """
-    daily = materialize(compliance_daily(targets, stores, tx, first, last), "compliance-daily")
-    return _join_parts(daily, as_of)
+    sums = day_index(daily).groupBy("tienda_id").agg(
+        *_summary_sums(), *_trend_sums("pct_diario_cop"),
+        *_part_sums(_same_week(as_of), "semana", "meta_semanal_cop"),
+        *_part_sums(_same_month(as_of), "mes", "meta_mensual_cop"), *_quarter_rates())
+    rates = projection(_trend_rates(_summary_rates(sums)), as_of).withColumns({
+        "pct_semanal": pct("ventas_semana", "meta_semana"), "pct_mensual": pct("ventas_mes", "meta_mes")})
+    return rates.drop("ventas_semana", "meta_semana", "ventas_mes", "meta_mes").fillna(
+        0.0, subset=["pct_semanal", "pct_mensual", "ticket_promedio"])
 
 
-def _join_parts(daily: DataFrame, as_of: dt.date) -> DataFrame:
-    week = week_summary(daily, as_of).select("tienda_id", "pct_semanal")
-    month = month_summary(daily, as_of).select("tienda_id", "pct_mensual")
-    return (projection(store_summary(daily), as_of)
-            .join(trend(daily), "tienda_id", "left")
-            .join(week, "tienda_id", "left").join(month, "tienda_id", "left")
-            .fillna(0.0, subset=["pct_semanal", "pct_mensual", "ticket_promedio"])
-            .fillna({"tendencia": TREND_NONE}))
+def compliance_stores(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.date,
+                      last: dt.date, as_of: dt.date) -> DataFrame:
+    """The relational part of the report: one row per store, without ranking, quarters and models."""
+    return store_measures(compliance_daily(targets, stores, tx, first, last), as_of).drop(*QUARTERS)
 
 
 def by_compliance():
@@ -240,13 +277,14 @@ def compliance(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.d
                as_of: dt.date, *, restarts: int = 10) -> ComplianceReport:
     """The full compliance report for a period, as seen on ``as_of``.
 
-    Raises ``ValueError`` when the period has no targets. The daily frame and the
-    store summary are written once, since many parts read them.
+    Raises ``ValueError`` when the period has no targets. What is known of each store is written once,
+    since many parts read it; the days themselves are read once.
     """
-    daily = materialize(compliance_daily(targets, stores, tx, first, last), "compliance-daily")
-    if daily.isEmpty():
+    daily = compliance_daily(targets, stores, tx, first, last)
+    measures = materialize(store_measures(daily, as_of), "compliance-stores")
+    if measures.isEmpty():
         raise ValueError("Sin metas para el período indicado")
-    summary = materialize(_join_parts(daily, as_of), "compliance-stores")
+    summary = measures.drop(*QUARTERS)
     with ThreadPool(2) as pool:  # two independent fits on the same table
         fit_tiers = pool.apply_async(compliance_tiers, (summary, restarts))
         fit_flags = pool.apply_async(anomalous_stores, (summary,))
@@ -257,4 +295,4 @@ def compliance(targets: DataFrame, stores: DataFrame, tx: DataFrame, first: dt.d
     rows = store_rows(report)
     best, worst = podium(rows)
     return ComplianceReport(rows, executive_summary(report), best, worst, alerts(rows),
-                            quarter_pivot(daily))
+                            measures.select("tienda_id", *QUARTERS))

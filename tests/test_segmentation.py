@@ -104,3 +104,16 @@ def test_number_of_store_groups_is_chosen(frames):
 def test_two_stores_are_not_classified(frames):
     tx = frames.sales([("a", "1", 1, "2024-01-01"), ("a", "2", 9, "2024-01-01")])
     assert {r.segmento_tienda for r in store_segmentation_simple(tx).collect()} == {"Sin clasificar"}
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    from surtido.operators import ordered
+
+    assert [ordered.slices_for(n, 200) for n in (0, 1, 30_000, 10**7, 10**9, 10**12)] == [1, 1, 2, 200, 1000, 10**6]
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 7)
+    df = spark.range(100).select("id", (F.col("id") * 37 % 11).alias("v"))
+    got = running_totals(df, [F.desc("v"), F.asc("id")], {"c": F.col("v")}).orderBy(F.desc("v"), "id").collect()
+    total = 0
+    for r in got:
+        total += r.v
+        assert (r.c, r.c_total) == (total, sum(x.v for x in got))
