@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surtido.llm.columns import lower_ascii, others
+from surtido.llm.labelled_urls import labelled_urls
 from surtido.llm.wordspans import chunks, mix, string_buffers
 
 
@@ -28,47 +29,11 @@ RULES = (
     Rule("org", "/fr/", "allow"),
 )
 
-# Words of hosts and paths to block and to allow, from which labelled URLs are made
-BLOCKED_WORDS = (
-    "casino", "win", "poker", "slots", "jackpot", "bets", "betting", "free", "bonus", "gamble",
-    "cheap", "pills", "pharma", "meds", "drugs", "diet", "adult", "xxx", "sex", "cams", "porn",
-    "dating", "ads", "track", "click", "banner", "popup", "spam", "farm", "seo", "links", "loans",
-    "cash", "crypto", "scam", "prize", "malware", "warez", "torrent", "crack")
-ALLOWED_WORDS = (
-    "news", "library", "garden", "school", "music", "recipes", "weather", "history", "science",
-    "travel", "museum", "nature", "photo", "books", "river", "theatre", "letters", "the", "that",
-    "other", "there", "nation", "rest", "thing", "heritage", "station", "southern", "northern",
-    "eastern", "western", "theory", "thread", "thunder", "threshold", "information", "tradition",
-    "education", "entertain", "stories", "notebook", "north", "south", "earth", "heart", "health",
-    "month", "mouth", "truth", "worth", "birth", "faith", "mother", "father", "brother", "leather",
-    "feather", "gather", "rather", "either", "whether", "author", "anthem", "method", "white", "wheel",
-    "what", "when", "where", "house", "mountain", "table", "cable", "noble", "double", "able", "sound",
-    "ground", "hand", "land", "sand", "band", "ocean", "shore", "shine", "share", "shape", "string",
-    "morning", "evening", "nothing", "reading", "writing", "painter", "painting", "mention", "motion",
-    "action", "option", "notion", "ration", "edition", "addition", "condition", "position", "tent",
-    "accent", "content", "event", "student", "talent", "silent", "thesis", "east", "west", "rest",
-    "stone", "street", "stand", "strand", "radio", "fish", "finish", "english", "polish", "dish")
-
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 18
 SIZES = (3, 4, 5)
 ROUNDS, RATE, L2 = 1000, 4.0, 1e-5
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for block): every word alone and beside the next of its kind."""
-    out = []
-    for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
-        for i, word in enumerate(words):
-            after = words[(i + 1) % len(words)]
-            middle = "-" if label or i % 4 == 0 else ""
-            for n, host in enumerate((word, word + middle + after)):
-                sub = ("", "www.", "blog.", "m.")[(i + n) % 4]
-                top = ("com", "net", "org")[(i + 2 * n) % 3]
-                path = ("", "/", f"/en/{37 * i % 997}", f"/de/{i}/", f"/fr/{i}.html", f"/es/{i}")[(i + n) % 6]
-                out.append((f"https://{sub}{host}.example.{top}{path}", label))
-    return out
-
-
 def host_of(url: str = "url") -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
     return lower_ascii(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
