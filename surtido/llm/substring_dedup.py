@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surtido.llm.columns import text_of
 from surtido.llm.wordspans import (
-    chunks, covered, find_words, string_buffers, windows, word_hashes,
+    chunks, covered, find_words, mix, string_buffers, windows, word_hashes,
 )
+from surtido.operators.ordered import running_totals
+from surtido.session import default_parallelism
 
 WINDOW = 13
 SLICE_BYTES = 16 << 20      # text of one slice of documents
+LEAST_SLICE = 1 << 20       # text of a slice of a small table
 BUCKET_WINDOWS = 2_000_000  # window hashes of one counting bucket, about
-GRID = 128                  # cells of the documents' distribution by id
 
-PACKED = "bucket int, slice int, width int, hashes binary"
+PACKED = "bucket int, slice int, rank int, width int, hashes binary"
 CLEANED = ("doc_id long, text string, n_words long, n_removed long, "
            "removed array<struct<start:int,end:int>>")
 
@@ -49,59 +53,92 @@ def text_windows(column: pa.ChunkedArray, size: int) -> Iterator[tuple]:
         yield which, words, *windows(word_hashes(words), words.first, size)
 
 
-def _slices(df: DataFrame, slice_bytes: int) -> tuple[Column, int, int]:
-    """(slice of a row, number of slices, all text bytes).
+class Cuts(NamedTuple):
+    """Units of neighbouring ids, in order: their first id, first slice, and number of slices."""
+    first: np.ndarray
+    slice: np.ndarray
+    parts: np.ndarray
 
-    Slices are ranges of ``doc_id`` with about equal rows: the ids' distribution is taken
-    as linear within each cell of a fixed grid of quantiles, so any number of slices comes
-    from a bounded number of values. Rows without an id go to slices of their own.
+
+def cut_ids(docs: DataFrame, slice_bytes: int) -> tuple[Cuts, int, int]:
+    """(units, number of slices, all text bytes).
+
+    Ids are cut by prefix sums of their text bytes, so a unit has at most twice ``slice_bytes``. An id
+    with more than ``slice_bytes`` is a unit of its own and has several slices. What comes to the
+    driver is a row a unit, about one for ``slice_bytes`` of text.
+    """
+    sized = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    placed = running_totals(sized.filter("doc_id IS NOT NULL"), [F.asc("doc_id")], {"upto": F.col("bytes")})
+    large = F.col("bytes") > slice_bytes
+    units = (placed.groupBy(F.floor((F.col("upto") - F.col("bytes")) / slice_bytes).alias("at"), large.alias("large"))
+             .agg(F.min("doc_id").alias("first"), F.sum("bytes").alias("bytes")).orderBy("first").toArrow())
+    size = units["bytes"].to_numpy()
+    parts = np.where(units["large"].to_numpy(zero_copy_only=False).astype(bool), -(-size // slice_bytes), 1).astype(np.int64)
+    cuts = Cuts(units["first"].to_numpy(), np.cumsum(parts) - parts, parts)
+    return cuts, int(parts.sum()), int(size.sum())
+
+
+def _sliced(docs: DataFrame, slice_bytes: int) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, slice, rank) of every row, number of slices with an id, all text bytes.
+
+    ``rank`` is the unit's first slice: slices of one unit are not earlier than each other. Rows without an id go
+    to slices behind the others, as many as there are.
     """
-    grid = [i / GRID for i in range(GRID + 1)]
-    size, edges = df.agg(F.sum(F.octet_length("text").cast("long")),
-                         F.percentile_approx("doc_id", grid, 10_000)).first()
-    size, n = size or 0, max(1, math.ceil((size or 0) / slice_bytes))
-    spread = F.pmod(F.xxhash64("text"), F.lit(n)).cast("int") + n
-    if not edges:
-        return spread, n, size
-    edges = sorted(set(edges))
-    values = F.array(*[F.lit(e).cast("long") for e in edges])
-    cell = F.greatest(F.lit(1), F.least(F.lit(max(1, len(edges) - 1)),
-                                        F.size(F.filter(values, lambda e: e <= F.col("doc_id")))))
-    low, high = F.element_at(values, cell), F.element_at(values, F.least(cell + 1, F.lit(len(edges))))
-    within = F.coalesce(F.try_divide((F.col("doc_id") - low).cast("double"),
-                                     (high - low).cast("double")), F.lit(0.0))
-    share = (cell - 1 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), within))) / max(1, len(edges) - 1)
-    ranged = F.least(F.lit(n - 1), F.floor(share * n).cast("int"))
-    return F.when(F.col("doc_id").isNull(), spread).otherwise(ranged), n, size
+    spark = docs.sparkSession
+    whole = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # No smaller slices than LEAST_SLICE, and on a small table no fewer than there are tasks.
+    slice_bytes = max(1, min(slice_bytes, max(LEAST_SLICE, -(-whole // default_parallelism(spark)))))
+    cuts, slices, _ = cut_ids(docs, slice_bytes)
+    sent = spark.sparkContext.broadcast(cuts)
+    spread = max(1, slices)
+
+    @F.pandas_udf("slice int, rank int")
+    def place(ids: pd.Series, has_id: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        units, known = sent.value, has_id.to_numpy().astype(bool)
+        row = mix(rows.to_numpy().astype(np.uint64))
+        out = np.full((len(ids), 2), slices, np.int64)
+        out[:, 0] += (row % np.uint64(spread)).astype(np.int64)
+        if known.any():
+            unit = np.searchsorted(units.first, ids.to_numpy()[known], "right") - 1
+            out[known, 1] = units.slice[unit]
+            out[known, 0] = units.slice[unit] + (row[known] % units.parts[unit].astype(np.uint64)).astype(np.int64)
+        return pd.DataFrame(out.astype(np.int32), columns=["slice", "rank"])
+
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    placed = numbered.withColumn("_at", place(  # no null among the ids, which would make them floats
+        F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull(), "_row"))
+    return placed.select("doc_id", "text", "_at.slice", "_at.rank"), slices, whole
 
 
 def _packer(size: int, buckets: int, slices: int):
     """The windows of one slice: distinct hashes, packed by bucket."""
     def emit(key: tuple, docs: pa.Table) -> pa.Table:
-        part = key[0].as_py()
+        part, rank = key[0].as_py(), docs["rank"][0].as_py()
         found = [h for *_, h in text_windows(docs["text"], size)] if part < slices else []
         hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(b, part, *pack(hashes[edges[b]:edges[b + 1]]))
+        rows = [(b, part, rank, *pack(hashes[edges[b]:edges[b + 1]]))
                 for b in np.flatnonzero(np.diff(edges)).tolist()]
-        cols = list(zip(*rows)) or [[], [], [], []]
+        cols = list(zip(*rows)) or [[], [], [], [], []]
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "slice": pa.array(cols[1], pa.int32()),
-                         "width": pa.array(cols[2], pa.int32()), "hashes": pa.array(cols[3], pa.binary())})
+                         "rank": pa.array(cols[2], pa.int32()), "width": pa.array(cols[3], pa.int32()),
+                         "hashes": pa.array(cols[4], pa.binary())})
     return emit
 
 
 def _repeats(bucket: pa.Table) -> pa.Table:
-    """Hashes of one bucket that a lower slice holds too, packed by the higher slice."""
-    bucket = bucket.sort_by("slice")
-    parts = bucket["slice"].to_numpy()
+    """Hashes of one bucket that a slice of a lower rank holds too, packed by the higher slice."""
+    bucket = bucket.sort_by([("rank", "ascending"), ("slice", "ascending")])
     held = [unpack(w, p) for w, p in zip(bucket["width"].to_pylist(), bucket["hashes"].to_pylist())]
     hashes = np.concatenate(held)
-    owner = np.repeat(parts, [len(h) for h in held])
-    order = np.argsort(hashes, kind="stable")  # a merge of sorted runs; ties stay in slice order
-    hashes, owner = hashes[order], owner[order]
-    again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
-    hashes, owner = hashes[again], owner[again]
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    order = np.argsort(hashes, kind="stable")  # a merge of sorted runs; ties stay in order of rank
+    hashes, row = hashes[order], row[order]
+    rank = bucket["rank"].to_numpy()[row]
+    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    again = rank > rank[new][np.cumsum(new) - 1]
+    hashes, owner = hashes[again], bucket["slice"].to_numpy()[row[again]]
     rows = [(int(p), *pack(hashes[owner == p])) for p in np.unique(owner)]
     cols = list(zip(*rows)) or [[], [], []]
     return pa.table({"slice": pa.array(cols[0], pa.int32()), "width": pa.array(cols[1], pa.int32()),
@@ -187,21 +224,21 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, slice_bytes: int = SLI
     return, unchanged. All windows are judged on the input.
 
     Every window's 64-bit hash is counted: documents are cut into slices by ranges of
-    their id; a slice sends its distinct hashes, packed by bucket of the hash, about six
+    their id, of about equal bytes; a slice sends its distinct hashes, packed by bucket of the hash, about six
     bytes a window; a bucket returns to each slice the hashes that a lower slice holds;
-    a slice compares its own documents itself. No task holds more than a slice's text or
-    a bucket's hashes, whatever a passage's number of copies, since a slice sends it once.
+    a slice compares its own documents itself. No task holds more than two slices' text, one row more, or
+    a bucket's hashes, whatever a passage's number of copies, since a slice sends it once, and
+    whatever an id's number of rows, since a large id has slices of its own.
     Two different windows share a hash with a chance of 2^-64.
 
     Null or empty text, or one shorter than a window: all words stay. Rows with the same
     ``doc_id`` do not count as earlier than each other. A null ``doc_id`` is neither
-    earlier nor later than any: its text stays. Empty table: empty. Extra columns are
-    ignored. Runs one job when called (text bytes and quantiles of the ids).
+    earlier nor later than any: its text stays. Very long texts are read in chunks. Empty table: empty. Extra columns are
+    ignored. Runs jobs when called (text bytes by id, and their prefix sums).
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    place, slices, size = _slices(docs, slice_bytes)
+    docs, slices, size = _sliced(docs, slice_bytes)
     buckets = max(1, math.ceil(size / 6 / bucket_windows))
-    docs = docs.select("doc_id", "text", place.alias("slice"))
     packed = docs.groupBy("slice").applyInArrow(_packer(window, buckets, slices), PACKED)
     seen = packed.groupBy("bucket").applyInArrow(_repeats, "slice int, width int, hashes binary")
     return (docs.groupBy("slice").cogroup(seen.groupBy("slice"))

@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 import xxhash
 from llm_tables import ODD_TEXTS, by_id, docs, prose  # noqa: F401
+from pyspark.sql import functions as F
 
 from surtido.llm.components import components
 from surtido.llm.line_dedup import dedup_lines
 from surtido.llm.simhash import linked_within, link_codes, near_duplicates, text_fingerprints
+from surtido.llm import substring_dedup
 from surtido.llm.substring_dedup import dedup_substrings, pack, unpack
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -201,3 +203,25 @@ def test_hashes_pack_and_unpack():
     for n in (1, 2, 1000):
         hashes = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         assert unpack(*pack(hashes)).tolist() == hashes.tolist()
+
+
+def test_slices_follow_bytes_and_split_a_large_id(docs):
+    """Long texts, a hot id and rows without one: no slice is large, and the result is that of plain Python."""
+    shared = [prose(s, 40, 5000) for s in range(6)]
+    rows = [(i, f"{prose(i, 30)} {shared[i % 6]}") for i in range(60)]
+    rows += [(30, f"{prose(1000 + k, 60, 5000)} {shared[k % 6]}") for k in range(200)]  # one id on many rows
+    rows += [(2**60 + 1, prose(7, 20_000, 5000)), (2**60 + 2, f"{prose(7, 300, 5000)} {prose(8, 30, 5000)}")]
+    rows += [(None, f"{prose(k)} {shared[k % 6]}") for k in range(50)] + [(-5, shared[0]), (10**15, None), (10**15, "")]
+    table = docs(rows, ["slice", "rank"]).repartition(3)
+    most = 20_000
+    sliced, n, whole = substring_dedup._sliced(table.selectExpr("doc_id", "coalesce(text, '') AS text"), most)
+    sizes = {r.slice: r for r in sliced.groupBy("slice").agg(
+        F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("one"), F.count("*").alias("n"),
+        F.count_distinct("rank").alias("ranks"), F.count_distinct("doc_id").alias("ids")).collect()}
+    assert whole == sum(len((t or "").encode()) for _, t in rows) and n > 4
+    assert all(r.ranks == 1 for r in sizes.values())
+    assert all(r.bytes <= max(3 * most, 2 * most + r.one) for r in sizes.values())
+    hot = sliced.where("doc_id = 30").select("slice", "rank").distinct().collect()
+    assert len(hot) > 3 and len({r.rank for r in hot}) == 1
+    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_substrings(table, slice_bytes=most).collect()]
+    assert sortable(got) == sortable(plain_substrings(rows, 13))
