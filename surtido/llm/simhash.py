@@ -19,8 +19,9 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 CELL = 20_000  # codes that one search compares with each other, about
-BLOCK = 256    # codes under one lowest node of the index
-FANOUT = 16    # nodes under one node above
+BLOCK = 4      # codes under one lowest node of the index
+FANOUT = 4     # nodes under one node above
+PAIRS = 1 << 18  # pairs of nodes that are looked at together, about
 
 
 def text_fingerprints(column: pa.ChunkedArray | pa.Array, shingle: int) -> np.ndarray:
@@ -73,10 +74,15 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, body long, fp long")
 
 
-def _masks(parts: int) -> list[int]:
-    """Masks that part 64 bits, from the top, into runs of about equal length (signed)."""
-    cuts = [round(64 * i / parts) for i in range(parts + 1)]
-    masks = [((1 << (64 - a)) - 1) ^ ((1 << (64 - b)) - 1) for a, b in zip(cuts, cuts[1:])]
+def _masks(max_bits: int) -> list[int]:
+    """Masks of two parts each of the 64 bits cut into ``max_bits + 2`` runs of about equal length (signed).
+
+    Codes within ``max_bits`` bits differ in that many runs at most, so they agree under one mask at least.
+    """
+    n = max_bits + 2
+    cuts = [round(64 * i / n) for i in range(n + 1)]
+    runs = [((1 << (64 - a)) - 1) ^ ((1 << (64 - b)) - 1) for a, b in zip(cuts, cuts[1:])]
+    masks = [runs[i] | runs[j] for i in range(n) for j in range(i)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -91,9 +97,10 @@ def link_codes(codes: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) ->
     """(a, b): links that connect all codes ``fp`` within ``max_bits`` bits of each other.
 
     A hierarchical index in Gray order, in place of all pairs. The upper nodes are masked
-    patterns that codes share: ``max_bits + 1`` masks part the bits, and two codes within
-    ``max_bits`` agree under one mask at least, so a code is filed under one node for each
-    mask. Under a node codes are sorted by Gray rank and grouped into blocks and blocks
+    patterns that codes share: each mask has two of ``max_bits + 2`` parts of the bits (21 bits of 64 for four),
+    and two codes within ``max_bits`` agree under one mask at least, so a code is filed under one node for each
+    mask. A node holds few codes up to many millions of codes in all.
+    Under a node codes are sorted by Gray rank and grouped into blocks and blocks
     of blocks; each holds the bits its codes share and their pattern. A pair of groups is
     dropped as a whole once the bits in which their shared patterns differ pass
     ``max_bits``; the bits shared by a group include those of the groups above, so
@@ -102,7 +109,7 @@ def link_codes(codes: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) ->
     Of the links found under one node only a spanning set is kept. A node with more than
     ``cell`` codes is cut into chunks, and each pair of chunks is searched by itself.
     """
-    masks = _masks(max_bits + 1)
+    masks = _masks(max_bits)
     filed = codes.select("fp", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "pattern"))
     large = (filed.groupBy("mask", "pattern").count().filter(F.col("count") > cell)
@@ -158,26 +165,37 @@ def linked_within(codes: np.ndarray, max_bits: int) -> np.ndarray:
     levels = [_nodes(codes, codes, BLOCK)]
     while len(levels[-1][0]) > FANOUT:
         levels.append(_nodes(*levels[-1], FANOUT))
-    a, b = np.triu_indices(len(levels[-1][0]))
-    for level in range(len(levels) - 1, -1, -1):
-        every, some = levels[level]
-        shared = ~(every[a] ^ some[a]) & ~(every[b] ^ some[b])  # bits equal within either group
-        near = np.bitwise_count((every[a] ^ every[b]) & shared) <= max_bits
+    full = np.r_[codes, np.zeros(-n % BLOCK, codes.dtype)].reshape(-1, BLOCK)
+    real = (np.arange(full.size) < n).reshape(-1, BLOCK)
+    stack = [(len(levels) - 1, *np.triu_indices(len(levels[-1][0])))]
+    while stack:
+        level, a, b = stack.pop()
+        heads = np.arange(0, n, BLOCK * FANOUT**level)
+        low, high = np.minimum.reduceat(label, heads), np.maximum.reduceat(label, heads)
+        apart = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])  # not of one group already
+        near = apart & _near(levels[level], a, b, max_bits)
         a, b = a[near], b[near]
         if level:
-            a, b = _children(a, b, len(levels[level - 1][0]))
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = slice(x * BLOCK, min(n, (x + 1) * BLOCK)), slice(y * BLOCK, min(n, (y + 1) * BLOCK))
-        left, right = label[p], label[q]
-        if (left == left[0]).all() and (right == left[0]).all():
-            continue  # one group already
-        close = np.bitwise_count(codes[p][:, None] ^ codes[q][None, :]) <= max_bits
-        i, j = np.nonzero(close & (left[:, None] != right[None, :]))
-        if len(i):
-            label = array_components(n, left[i], right[j])[label]
+            for part in range(0, len(a), PAIRS // FANOUT**2):
+                some = slice(part, part + PAIRS // FANOUT**2)
+                stack.append((level - 1, *_children(a[some], b[some], len(levels[level - 1][0]))))
+            continue
+        close = np.bitwise_count(full[a][:, :, None] ^ full[b][:, None, :]) <= max_bits
+        pair, i, j = np.nonzero(close & real[a][:, :, None] & real[b][:, None, :])
+        i, j = a[pair] * BLOCK + i, b[pair] * BLOCK + j
+        new = label[i] != label[j]
+        if new.any():
+            label = array_components(n, label[i[new]], label[j[new]])[label]
     return label
 
 
+def _near(nodes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether groups a and b may hold close codes: the bits that each shares differ in few places."""
+    every, some = nodes
+    shared = ~(every[a] ^ some[a]) & ~(every[b] ^ some[b])
+    return np.bitwise_count((every[a] ^ every[b]) & shared) <= max_bits
+
+
 def _nodes(every: np.ndarray, some: np.ndarray, fanout: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits that all, and that any, of each ``fanout`` neighbours have."""
     heads = np.arange(0, len(every), fanout)

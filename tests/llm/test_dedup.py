@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from surtido.llm.components import components
 from surtido.llm.line_dedup import dedup_lines
 from surtido.llm.simhash import linked_within, link_codes, near_duplicates, text_fingerprints
-from surtido.llm import substring_dedup
+from surtido.llm import simhash, substring_dedup
 from surtido.llm.substring_dedup import dedup_substrings, pack, unpack
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -225,3 +225,42 @@ def test_slices_follow_bytes_and_split_a_large_id(docs):
     assert len(hot) > 3 and len({r.rank for r in hot}) == 1
     got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_substrings(table, slice_bytes=most).collect()]
     assert sortable(got) == sortable(plain_substrings(rows, 13))
+
+
+def gray_ordered(codes):
+    rank = codes.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    return codes[np.argsort(rank)]
+
+
+def test_masks_cover_all_close_pairs():
+    masks = [m & (2**64 - 1) for m in simhash._masks(4)]
+    assert len(masks) == 15 and all(20 <= m.bit_count() <= 22 for m in masks)
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        apart = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))
+        assert any(apart & m == 0 for m in masks)
+
+
+def test_the_index_prunes_random_codes():
+    """Of a million random codes the nodes hold next to none to compare; a full node's groups are mostly dropped."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 2**64, 1_000_000, dtype=np.uint64)
+    compared = 0
+    for mask in simhash._masks(4):
+        _, sizes = np.unique(codes & np.uint64(mask & (2**64 - 1)), return_counts=True)
+        compared += int((sizes * (sizes - 1) // 2).sum())
+    assert compared < 1e-5 * len(codes) * (len(codes) - 1) / 2
+    node = gray_ordered(codes[:40_000] & np.uint64((1 << 43) - 1))
+    lowest = simhash._nodes(node, node, simhash.BLOCK)
+    a, b = rng.integers(0, len(lowest[0]), (2, 100_000))
+    assert simhash._near(lowest, a, b, 4).mean() < 0.2
+
+
+def test_a_node_of_near_copies_is_one_group():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 1, dtype=np.uint64)[0]
+    flips = [sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(3000)]
+    codes = gray_ordered(np.unique(base ^ np.array(flips, np.uint64)))
+    assert set(linked_within(codes, 4).tolist()) == {0}
