@@ -636,6 +636,24 @@ add("compliance_report_check", COMPLIANCE, f"""SELECT
 
 # --- baskets ---------------------------------------------------------------------------
 add("basket_pairs", RECEIPTS, "SELECT a, b, f AS canastas FROM two")
+_WEEK = "(tienda_id || '/' || isoyear(dia) || '/' || weekofyear(dia))"
+add("basket_ladder", f"""{item_baskets(_WEEK, "0.02")},
+three AS (SELECT count(*) AS f FROM br x JOIN br y ON x.basket = y.basket AND x.sku_id < y.sku_id
+  JOIN br z ON x.basket = z.basket AND y.sku_id < z.sku_id GROUP BY x.sku_id, y.sku_id, z.sku_id),
+sets AS (SELECT 1 AS k, f FROM one UNION ALL SELECT 2, f FROM two UNION ALL SELECT 3, f FROM three),
+steps AS (SELECT s::DOUBLE AS s, (SELECT count(*) FROM sets, nb WHERE f >= ceil(s * n)) AS c
+  FROM (VALUES (0.05), (0.04), (0.03), (0.02)) t(s)),
+used AS (SELECT max(s) AS s FROM steps WHERE c > 5)""", """SELECT k::BIGINT AS articulos, count(*) AS conjuntos,
+  sum(f)::BIGINT AS canastas, any_value(n)::BIGINT AS total, any_value(s) AS soporte, 0::BIGINT AS reglas
+  FROM sets, nb, used WHERE f >= ceil(s * n) GROUP BY k""")
+# All sizes: each basket's subsets, grown one later article at a time.
+add("basket_low_support", f"""{item_baskets(_WEEK, "0.0003")},
+held AS (SELECT basket, list_sort(list(sku_id)) AS items FROM br GROUP BY 1),
+hist AS (SELECT items, count(*) AS w FROM held GROUP BY 1),
+parts AS (SELECT row_number() OVER () AS id, items, w, unnest(range(1, (1 << len(items)))) AS m FROM hist)""",
+    """SELECT array_to_string(list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1), ', ') AS articulos,
+  sum(w)::BIGINT AS canastas, any_value(n)::BIGINT AS total FROM parts, nb
+  GROUP BY 1 HAVING sum(w) >= ceil(0.0003 * any_value(n))""")
 add("basket_rules", RULES, "SELECT * FROM rules", "soporte confianza lift")
 add("basket_week_rules", rules("(tienda_id, isoyear(dia), weekofyear(dia))", "0.001"),
     "SELECT * FROM rules", "soporte confianza lift")

@@ -676,6 +676,25 @@ def basket_week_rules(spark, d):
     return bsk.basket_rules(td.transactions(spark, d, "brand"), supports=(0.001,), min_conf=0.05)
 
 
+@query
+def basket_ladder(spark, d):
+    """The supports tried from the highest down, on store weeks: the one used, baskets, itemsets by size, and rules."""
+    held = bsk.baskets(td.transactions(spark, d, "brand"))
+    found, n, used = bsk.frequent_itemsets(held, (0.05, 0.04, 0.03, 0.02), min_itemsets=5)
+    return found.groupBy(F.size("items").cast("long").alias("articulos")).agg(
+        F.count("*").alias("conjuntos"), F.sum("freq").alias("canastas")).select(
+        "*", F.lit(n).cast("long").alias("total"), F.lit(used).alias("soporte"),
+        F.lit(bsk.rules_from_itemsets(found, n).count()).cast("long").alias("reglas"))
+
+
+@query
+def basket_low_support(spark, d):
+    """Itemsets of every size on store weeks at a support that sets of three and more reach."""
+    found, n, _ = bsk.frequent_itemsets(bsk.baskets(td.transactions(spark, d, "brand")), (0.0003,))
+    return found.select(F.array_join("items", ", ").alias("articulos"), F.col("freq").alias("canastas"),
+                        F.lit(n).cast("long").alias("total"))
+
+
 @query
 def basket_top_rules(spark, d):
     rules = bsk.basket_rules(td.transactions(spark, d, "brand"), **RECEIPT_RULES)
