@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,8 +123,9 @@ def template_windows(df: DataFrame, key: list[str], forms: Iterable[tuple[int, s
             F.array(*(F.get("_slots" + kind, i + k) for k in range(size))).alias("slots"))))
 
     whole = _with_slots(_typed(df, key), sorted(kinds))
-    cuts = [whole.select(*key, n.alias("n"), F.inline(cut(*form))) for form in forms]
-    return _named(reduce(DataFrame.unionByName, cuts), min_literals)
+    none = F.array().cast("array<struct<plain: boolean, size: int, pos: int, hashes: array<bigint>, slots: array<bigint>>>")
+    cuts = F.flatten(F.array(*(F.coalesce(cut(*form), none) for form in forms)))
+    return _named(whole.select(*key, n.alias("n"), F.inline(cuts)), min_literals)
 
 
 def anchors_of(windows: DataFrame, window: int) -> DataFrame:
