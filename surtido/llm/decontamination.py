@@ -312,8 +312,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with ``contaminated``, ``n_items``, ``item_ids`` and ``best_share``.
 
-    Null or empty text: clean. Repeated rows and equal texts:
-    the same verdict each. Null ``doc_id``: judged like any other. Repeated items count
+    Null or empty text: clean. Very long texts: whole; what is held for each is a hash a word. A share just
+    at ``min_share``: a leak. Repeated rows and equal texts: the same verdict each. Null ``doc_id``: judged like any other. Repeated items count
     once; of several texts under one id the one found best counts. Null ids take no part.
     Empty benchmark: all clean. Empty table: empty.
     Other columns stay; input columns with the names of the made ones are replaced.

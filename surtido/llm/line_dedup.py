@@ -55,7 +55,8 @@ def dedup_lines(df: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     chance of (common lines / 2^64).
 
     Null or empty text: one empty line, text ``""``. All lines dropped: ``""``. Null
-    ``doc_id`` counts as one document. A repeated row counts once and stays repeated.
+    ``doc_id`` counts as one document. A repeated row counts once and stays repeated. Very long
+    texts: all their lines, in one row. A key in just ``min_documents`` goes.
     Empty table: empty. Other columns stay; input columns called ``n_lines`` or
     ``n_dropped`` are replaced.
 

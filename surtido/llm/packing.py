@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from surtido.llm.columns import small_batches, text_of
+from surtido.operators.ordered import slices_for
 from surtido.session import default_parallelism, materialize
 
 LENGTH = 2048
@@ -201,10 +202,11 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     have is numbered in as many tasks as any.
     """
     spark = pieces.sparkSession
-    parts = default_parallelism(spark)
     names = pieces.columns
-    stored = materialize(pieces.withColumn(
-        "_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int")), "pieces")
+    written = materialize(pieces, "pieces")
+    parts = slices_for(written.count(), default_parallelism(spark))  # more of them for more pieces
+    stored = written.withColumn(
+        "_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = stored.groupBy("_part", "length").agg(F.count("*").alias("_n"))
     histogram = {r.length: r.n for r in
                  counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
@@ -227,22 +229,24 @@ def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_
 
     Every document is tokenized whole, closed by ``end_id`` and cut every ``length`` ids;
     the pieces fill sequences of at most ``length`` ids, numbered from 0, without gaps.
-    Null or empty text: the one id ``end_id``. Repeated rows are packed as often as they
-    come. Null ``doc_id``: packed like any other. Empty table: empty. Extra columns are
-    ignored. Runs one job when called; the pieces are written once (the ids only
+    Null or empty text: the one id ``end_id``. Very long texts: as many pieces as they fill. Repeated rows are
+    packed as often as they come, equal pieces in either order. Null ``doc_id``: packed like any other. Empty table:
+    empty. Extra columns are ignored. Runs one job when called; the pieces are written once (the ids only
     ``with_ids``). ``memo_words`` trades memory of the workers for time; results do not change.
     """
     return pack_pieces(token_pieces(df, tokenizer, length, end_id, with_ids, memo_words), length)
 
 
-def sequence_rows(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
+def sequence_rows(packed: DataFrame, length: int = LENGTH, pad_id: int = 0, pad_powers: bool = True) -> DataFrame:
     """(sequence_id, ids, doc_ids): one row a sequence, padded to ``length``; needs the ids.
 
+    Without ``pad_powers`` a sequence whose ids are a power of two in number stays as it is.
     A group is one sequence, so it never holds more than ``length`` ids.
     """
     ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     rows = packed.groupBy("sequence_id").agg(ordered.alias("pieces"))
     ids = F.flatten(F.transform("pieces", lambda p: p["ids"]))
-    padding = F.array_repeat(F.lit(pad_id), F.lit(length) - F.size(ids))
+    spared = F.lit(not pad_powers) & (F.bit_count(F.size(ids)) == 1)
+    padding = F.array_repeat(F.lit(pad_id), F.when(spared, 0).otherwise(F.lit(length) - F.size(ids)))
     return rows.select("sequence_id", F.concat(ids, padding).alias("ids"),
                        F.transform("pieces", lambda p: p["doc_id"]).alias("doc_ids"))

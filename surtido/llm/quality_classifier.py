@@ -148,8 +148,8 @@ def classify(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row
     outside the held-out fold; scores every row by a sparse dot product with the weights,
     which have a fixed size. Only the text enters a score.
 
-    Null or empty text: the bias alone. Repeated rows: the same score; in the sample, each
-    counts. No labels: every score is 0.5. Null ``doc_id``: scored, held out. Empty table:
+    Null or empty text: the bias alone. Very long texts: whole, in chunks. A score just at ``threshold``:
+    predicted. Repeated rows: the same score; in the sample, each counts. No labels: every score is 0.5. Null ``doc_id``: scored, held out. Empty table:
     empty. Other columns stay; input columns with the names of the made ones are replaced.
     Runs one job when called.
     """

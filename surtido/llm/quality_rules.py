@@ -152,8 +152,8 @@ def judge(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bucket
     Base rules: fewer than 10 words fail; more than 20 % of the words in 5-word windows
     that the text has twice or more fail.
 
-    Null or empty text: counts and score 0, base fails. Repeated rows get the same
-    verdict. No labels: every score is 0. Empty table: empty. Other columns stay; input
+    Null or empty text: counts and score 0, base fails. Very long texts: whole, in chunks. A score just
+    at ``threshold``: kept. Repeated rows get the same verdict. No labels: every score is 0. Empty table: empty. Other columns stay; input
     columns with the names of the made ones are replaced. Runs jobs when called: the target's ids are written, n-grams counted.
     """
     spark = df.sparkSession

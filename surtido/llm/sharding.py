@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surtido.operators.ordered import slices_for
 from surtido.session import default_parallelism, materialize
 
 SHARDS = 24
@@ -41,7 +42,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, overhead: int = ROW_OVERHEAD
         F.monotonically_increasing_id().alias("row")), "shard-sizes")
     order = [F.col(c).asc_nulls_first() for c in ("doc_id", "size", "text_crc32", "row")]
     ranged = materialize(
-        narrow.repartitionByRange(default_parallelism(df.sparkSession), *order)
+        narrow.repartitionByRange(slices_for(narrow.count(), default_parallelism(df.sparkSession)), *order)
         .withColumn("part", F.spark_partition_id()), "shard-ranges")
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -114,7 +114,7 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES,
     a small table of URLs (default: ``labelled_urls``), and has a fixed size.
 
     Null URL or one without ``://``: empty host and path, no rule, the model's verdict on
-    nothing. Ties of rules' lengths: the later in text order. Repeated rows: the same
+    nothing. Very long URLs: whole. Ties of rules' lengths: the later in text order. Repeated rows: the same
     verdict. Empty table: empty. Other columns stay; input columns with the names of the
     made ones are replaced. All of it is one pass without a shuffle.
     """

@@ -70,6 +70,13 @@ def test_sequences_are_padded_rows(docs):
     assert sorted(i for r in rows for i in r.doc_ids) == sorted(r.doc_id for r in packed.collect())
 
 
+def test_sequences_of_a_power_of_two_may_stay(spark):
+    packed = spark.createDataFrame([(1, 0, 0, [5] * 64), (2, 1, 0, [6] * 65), (3, 2, 0, [7] * 40), (4, 2, 40, [8] * 88)],
+                                   "doc_id long, sequence_id long, offset long, ids array<int>")
+    sizes = lambda **o: {r.sequence_id: len(r.ids) for r in sequence_rows(packed, 128, **o).collect()}
+    assert sizes() == {0: 128, 1: 128, 2: 128} and sizes(pad_powers=False) == {0: 64, 1: 128, 2: 128}
+
+
 def test_patterns_place_every_length_with_little_padding():
     rng = np.random.default_rng(3)
     histogram = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 2049, 50_000), return_counts=True))}
