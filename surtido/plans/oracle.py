@@ -702,6 +702,8 @@ risk AS (SELECT sku_id, tienda_id, {rnd("stock", 2)} AS stock_actual, lead_time,
     WHEN prob >= 15 THEN '🟠 Riesgo bajo-medio' ELSE '🟢 Riesgo bajo' END AS nivel_riesgo,
   30::BIGINT AS dias_simulacion FROM r6)"""
 add("stockout_risk", RISK, "SELECT * FROM risk")
+add("risk_parts", "pinv AS (SELECT sku_id, tienda_id, site_qty, lead_time FROM inv), "
+    + RISK.replace("bsale", "sale").replace("binv", "pinv"), "SELECT * FROM risk")
 add("risk_levels", RISK, f"""SELECT trim(regexp_replace(nivel_riesgo, '[{SYMBOLS}]', '', 'g')) AS etiqueta,
   count(*) AS cantidad FROM risk GROUP BY 1""")
 add("risk_page", RISK, """SELECT sku_id, tienda_id, prob_quiebre FROM risk
@@ -777,7 +779,7 @@ add("committed_log", "", """SELECT (SELECT max(dia)::VARCHAR FROM tx WHERE dia <
   FROM tx WHERE dia >= DATE '2000-01-01'""")
 add("versioned_refresh", EFFICIENCY, f"""SELECT count(*) AS total,
   {rnd("avg(indice_eficiencia)", 2)} AS promedio_eficiencia FROM eff""")
-add("bucket_update", CHANGES, """SELECT inv.tienda_id AS location_id, inv.sku_id,
+add("bucket_update", CHANGES.replace(" AND year(ts) = 2001", ""), """SELECT inv.tienda_id AS location_id, inv.sku_id,
   coalesce(c.q::DOUBLE, site_qty) AS site_qty,
   coalesce(c.d, DATE '2001-11-04')::VARCHAR AS status_date
   FROM inv LEFT JOIN chg ON inv.tienda_id = chg.tienda_id AND inv.sku_id = chg.sku_id""")

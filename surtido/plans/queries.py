@@ -754,6 +754,12 @@ def stockout_risk(spark, d):
     return rsk.stockout_risk(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
 
 
+@query
+def risk_parts(spark, d):
+    """Stock-out risk of every part and store with enough days."""
+    return rsk.stockout_risk(td.transactions(spark, d), td.inventory(spark, d))
+
+
 @query
 def risk_levels(spark, d):
     found = rsk.stockout_risk(td.transactions(spark, d, "brand"), td.inventory(spark, d, "brand"))
@@ -941,10 +947,10 @@ def later_rows(spark, d):
                                                  F.sum("quantity").alias("unidades"))
 
 
-def _stock_changes(spark, d):
-    """Returns of 2001 as stock changes: the returned quantity becomes the new stock."""
-    tx = td.transactions(spark, d)
-    rows = tx.where((F.col("type") == "devolucion") & (F.year("transaction_date") == 2001))
+def _stock_changes(spark, d, year=2001):
+    """Returns (of one year) as stock changes: the returned quantity becomes the new stock."""
+    tx = td.transactions(spark, d).where(F.col("type") == "devolucion")
+    rows = tx if year is None else tx.where(F.year("transaction_date") == year)
     return rows.select(F.col("target_location_id").alias("location_id"), "sku_id",
                        F.col("quantity").alias("site_qty"),
                        F.to_date("transaction_date").alias("status_date"))
@@ -1025,11 +1031,11 @@ def versioned_refresh(spark, d):
 
 @query
 def bucket_update(spark, d):
-    """Returns of 2001 as new stock, in the buckets that hold their keys."""
+    """Each pair's last return as new stock, in the buckets that hold the keys."""
     stock = td.inventory(spark, d)
     stored = VersionedTable(spark, new_path(spark, "inventarios"), stock.schema, ("location_id", "sku_id"), 32)
     stored.replace(stock, NOW)
-    stored.update(_stock_changes(spark, d), sinks.update_inventory, NOW)
+    stored.update(_stock_changes(spark, d, None), sinks.update_inventory, NOW)
     return stored.read().select("location_id", "sku_id", "site_qty", "status_date")
 
 
