@@ -113,16 +113,26 @@ class Block:
         self.vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         # The estimate's standard error is that of a random direction's share of what the signs miss.
-        self.error = np.sqrt(np.maximum(0.0, 1 - self.aligned**2)) / (self.aligned * np.sqrt(max(1, self.bits - 1)))
+        self.missed = np.maximum(0.0, 1 - self.aligned**2) / (self.aligned**2 * max(1, self.bits - 1))
+        self.scale = 1 / (np.sqrt(self.bits) * self.aligned)
 
     def estimates(self, planes: np.ndarray, low: float, step: float) -> np.ndarray:
         """Inner products with a query from packed bits: counts of common ones, a weight a plane."""
-        both = np.zeros(len(self.row), np.int64)
+        both = np.zeros(len(self.row), np.uint32)
         for k, plane in enumerate(planes):
-            both += np.bitwise_count(self.code & plane[:, None]).sum(axis=0, dtype=np.int64) << k
+            ones = np.bitwise_count(self.code & plane[:, None])
+            count = ones[0].astype(np.uint32)
+            for more in ones[1:]:
+                count += more
+            both += count << np.uint32(k)
         total = sum(int(np.bitwise_count(p).sum()) << k for k, p in enumerate(planes))
-        signed = (2 * both - total) * step + (2 * self.ones - self.bits) * low
-        return signed / (np.sqrt(self.bits) * self.aligned)
+        signed = both * (2.0 * step)
+        signed += (2 * self.ones - self.bits) * low - total * step
+        return signed * self.scale
+
+    def bounds(self, rest: float, bound: float) -> np.ndarray:
+        """How far the estimates may be off; ``rest`` is the length that the query's whole numbers lost."""
+        return bound * np.sqrt(self.missed + (rest * self.scale) ** 2)
 
     def search(self, rows: np.ndarray, queries: np.ndarray, nearest: int, bound: float):
         """(query, index, score) of the nearest of each query in this block, its own row left out."""
@@ -131,7 +141,7 @@ class Block:
         planes, low, step, rest = _planes((scaled / norms[:, None]) @ self.turn)
         for q in range(len(rows)):
             near = self.estimates(planes[q], low[q], step[q])
-            off = bound * np.hypot(self.error, rest[q] / (np.sqrt(self.bits) * self.aligned))
+            off = self.bounds(rest[q], bound)
             own = np.flatnonzero(self.row == rows[q])
             least = near - off
             least[own] = -np.inf

@@ -140,7 +140,7 @@ def test_rotation_keeps_lengths_and_estimates_keep_their_bounds():
     missed = 0
     for q in range(50):
         near = block.estimates(planes[q], low[q], step[q])
-        off = 3 * np.hypot(block.error, rest[q] / (np.sqrt(block.bits) * aligned))
+        off = block.bounds(rest[q], 3)
         missed += (np.abs(near - unit @ unit[q]) > off).sum()
     assert missed < 0.005 * 50 * 4000
 
