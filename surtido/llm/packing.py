@@ -204,7 +204,8 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = pieces.sparkSession
     names = pieces.columns
     written = materialize(pieces, "pieces")
-    parts = slices_for(written.count(), default_parallelism(spark))  # more of them for more pieces
+    tasks = default_parallelism(spark)
+    parts = max(tasks, slices_for(written.count(), tasks))  # more of them for more pieces
     stored = written.withColumn(
         "_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = stored.groupBy("_part", "length").agg(F.count("*").alias("_n"))
