@@ -20,7 +20,7 @@ from surtido.operators.ordered import running_totals
 from surtido.session import default_parallelism
 
 WINDOW = 13
-SLICE_BYTES = 10 << 20      # text of one slice of documents
+SLICE_BYTES = 5 << 20       # text of one slice of documents
 LEAST_SLICE = 1 << 20       # text of a slice of a small table
 BUCKET_WINDOWS = 2_000_000  # window hashes of one counting bucket, about
 

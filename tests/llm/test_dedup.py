@@ -1,9 +1,11 @@
 """Line dedup, SimHash and substring dedup against plain Python."""
 
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_tables import ODD_TEXTS, by_id, docs, prose  # noqa: F401
@@ -264,3 +266,22 @@ def test_a_node_of_near_copies_is_one_group():
     flips = [sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(3000)]
     codes = gray_ordered(np.unique(base ^ np.array(flips, np.uint64)))
     assert set(linked_within(codes, 4).tolist()) == {0}
+
+
+def test_a_slice_of_the_default_size_is_cleaned_in_bounded_memory():
+    """What the arrays of one slice take at most (twice as much with slices of 10 MB)."""
+    rng = np.random.default_rng(2)
+    n = substring_dedup.SLICE_BYTES // 500
+    texts = [" ".join(map(str, rng.integers(0, 10_000, 100))) for _ in range(n)]
+    docs = pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": texts,
+                     "slice": pa.array([0] * n, pa.int32()), "rank": pa.array([0] * n, pa.int32())})
+    key = (pa.scalar(0),)
+    tracemalloc.start()
+    try:
+        packed = substring_dedup._packer(13, 4, 1)(key, docs)
+        cleaned = substring_dedup._cleaner(13, 1)(key, docs, packed.slice(0, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cleaned.num_rows == n and packed.num_rows == 4
+    assert peak < 140 << 20
